@@ -30,19 +30,19 @@ class Found:
     links: DataFrame
 
 
-def find(df: DataFrame, id_col: str, text_col: str, rule: J.Rule = RULE, gap: int = 7) -> Found:
+def find(df: DataFrame, id_col: str, text_col: str, rule: J.Rule = RULE) -> Found:
     table = J.rows(df, id_col, text_col, rule)
     groups = J.classes(table)
-    return Found(table, groups, J.links(groups, rule, weigher(rule, gap)))
+    return Found(table, groups, J.links(groups, rule, weigher(rule)))
 
 
-def near_pairs(df: DataFrame, id_col: str, text_col: str, rule: J.Rule = RULE, gap: int = 7) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text_col: str, rule: J.Rule = RULE) -> DataFrame:
     """(a, b, common, either), a < b: every pair of rows whose similarity common / either reaches the threshold.
 
     Pairs of equal rows are there too: k copies are k * (k - 1) / 2 pairs. Use near_groups() where a text may
     be repeated very often.
     """
-    found = find(df, id_col, text_col, rule, gap)
+    found = find(df, id_col, text_col, rule)
     copies = J.copies_of(found.table, found.groups)
     copies = keep(copies, "copies")
     x, y = copies.select("rep", F.col("id").alias("a")), copies.select("rep", F.col("id").alias("b"))
@@ -52,13 +52,13 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, rule: J.Rule = RULE, g
     return turned.unionByName(same)
 
 
-def near_groups(df: DataFrame, id_col: str, text_col: str, rule: J.Rule = RULE, gap: int = 7) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str, text_col: str, rule: J.Rule = RULE) -> DataFrame:
     """(id, class_id, group_id, links): one row for each compared row.
 
     class_id is the least id with the same letters, links its number of similar classes, and group_id the least id
     that a chain of similar rows leads to. Copies are never expanded into pairs.
     """
-    found = find(df, id_col, text_col, rule, gap)
+    found = find(df, id_col, text_col, rule)
     links = keep(found.links, "links")
     ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     group = components(links.select("a", "b", (F.col("common") / F.col("either")).alias("similarity")))

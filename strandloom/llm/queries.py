@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import clusters, frequency, near
+from strandloom.llm import clusters, containers, frequency, near, overlap, pieces, spans, tokens
+from strandloom.plans.shared import keep
 from strandloom.plans.ship import ship
 
 
@@ -33,6 +34,30 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.marked_terms(_table(spark, sf_dir, "train_df"), "sequence")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.spans(_table(spark, sf_dir, "train_df"), "row_id", "sequence").withColumnRenamed("id", "row_id")
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.shares(_table(spark, sf_dir, "train_df"), "row_id", "sequence").withColumnRenamed("id", "row_id")
+    return out.withColumn("share", F.round("share", 6))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = overlap.overlaps(_table(spark, sf_dir, "train_df"), _table(spark, sf_dir, "test_df"), "row_id", "sequence")
+    return out.select(F.col("train_id").alias("train_row_id"), F.col("test_id").alias("test_row_id"))
+
+
+def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlaps(_table(spark, sf_dir, "train_df"), _table(spark, sf_dir, "test_df"), "row_id", "sequence").withColumn("similarity", F.round("similarity", 6))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _table(spark, sf_dir, "train_df"), _table(spark, sf_dir, "test_df")
+    out = overlap.report(overlap.overlaps(train, test, "row_id", "sequence"), train, test, "row_id", "dataset", "split")
+    return out.withColumnRenamed("source", "dataset").withColumn("mean_covered", F.round("mean_covered", 6))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near.near_pairs(_table(spark, sf_dir, "train_df"), "row_id", "sequence")
     return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
@@ -43,5 +68,35 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("row_id"), "class_id", "group_id", "links")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _fill_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "size_limits").filter("purpose = 'fill'").select("limit_id", F.col("max_tokens").alias("capacity"))
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = keep(tokens.count(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("tokens", "size"), "sizes")
+    return containers.fill(sizes, _fill_limits(spark, sf_dir))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.usage(_filled(spark, sf_dir), _fill_limits(spark, sf_dir)).withColumn("unused_share", F.round("unused_share", 6))
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = _table(spark, sf_dir, "size_limits").filter("purpose = 'cut'")
+    return pieces.split(_table(spark, sf_dir, "documents"), "doc_id", "text", limits).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_counts, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_counts, p3_found, p3_shares, p4_found, p4_coverage, p4_report, p5_found, p5_groups, p6_ids, p6_counts, p7_containers, p7_usage, p8_pieces)}

@@ -25,27 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm import blocks as B
 from strandloom.llm import letters as L
 from strandloom.plans.shared import keep
 
-try:
-    import zstandard
-
-    def _squeeze(data: bytes) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(data)
-
-    def _expand(data: bytes) -> bytes:
-        return zstandard.ZstdDecompressor().decompress(data)
-except ImportError:  # a cluster without it
-    import zlib
-
-    def _squeeze(data: bytes) -> bytes:
-        return zlib.compress(data, 1)
-
-    def _expand(data: bytes) -> bytes:
-        return zlib.decompress(data)
-
-
 SKIP = 7
 #: Seeds are sent in blocks of about this many records a task.
 BLOCK_ROWS = 60_000
@@ -57,7 +40,8 @@ class Rule:
 
     threshold, term, min_terms: pairs with at least this Jaccard index of their terms; records with fewer
     than min_terms distinct terms are not compared. stretch: length of the common stretch that proposes a
-    pair. seed: length of a seed; None takes 12 or, for larger inputs, more, so that chance matches per
+    pair. gap: terms that a break costs at least, on average (see least_common()).
+    hidden: share of the stretches two similar records must have in common that thresholds may hide. seed: length of a seed; None takes 12 or, for larger inputs, more, so that chance matches per
     record stay bounded. It changes the work, never the result.
     """
 
@@ -66,6 +50,8 @@ class Rule:
     min_terms: int = 40
     stretch: int = 16
     seed: int | None = None
+    gap: int = 7
+    hidden: float = 0.3
 
     @property
     def distinct(self) -> int:
@@ -82,13 +68,13 @@ class Rule:
         return max(min(fit, self.stretch), self.stretch - 7)
 
 
-def least_common(n: np.ndarray, rule: Rule, width: int, gap: int = 7) -> np.ndarray:
+def least_common(n: np.ndarray, rule: Rule, width: int) -> np.ndarray:
     """Least number of common windows of width letters, of a record with n distinct terms and any similar one.
 
     With M common terms in c stretches, M - (width - term) * c windows are common; c - 1 breaks of at least gap
     terms fit into the terms that are not common. Never below 1.
     """
-    t, out = rule.threshold, np.empty(len(n), np.int64)
+    t, gap, out = rule.threshold, rule.gap, np.empty(len(n), np.int64)
     for i, own in enumerate(n.tolist()):
         other = np.arange(int(np.ceil(t * own)), int(own / t) + 1)
         shared = np.ceil(t / (1 + t) * (own + other) - 1e-9)
@@ -105,25 +91,36 @@ def sure_stretch(threshold: float, term: int = 8, min_terms: int = 40, gap: int
     return int(np.ceil(shared / parts).min()) + term - 1
 
 
+def spending(rule: Rule, upto: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(budget, floor) by number of distinct terms, below ``upto``: of the stretches that two similar records have in
+    common at least, the thresholds may hide ``budget``; the pair must then show ``floor`` others."""
+    least = np.append(1, least_common(np.arange(1, upto), rule, rule.stretch))
+    budget = np.minimum((rule.hidden * least).astype(np.int64), least - 1)
+    return budget, least - budget
+
+
 def rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
-    """(id, letters) of the records that are compared: those with an id and at least min_terms distinct terms."""
-    term, least = rule.term, rule.min_terms
+    """(id, letters, floor) of the records that are compared: those with an id and at least min_terms distinct terms.
+
+    floor is the number of common stretches that a pair must show from this record's side (see spending()).
+    """
+    term, least, floors = rule.term, rule.min_terms, spending(rule)[1]
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             batch = L.normalise(b.column(1))
             n = np.bincount((L.distinct_terms(batch, term) >> (2 * term)).astype(np.int64), minlength=len(batch))
             fits = pa.array(n >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(fits), L.pack(batch).filter(fits)], ["id", "letters"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(fits), L.pack(batch).filter(fits), pa.array(floors[np.minimum(n, len(floors) - 1)], pa.int32()).filter(fits)], ["id", "letters", "floor"])
 
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.filter("id is not null and text is not null").mapInArrow(normal, "id long, letters binary")
+    return picked.filter("id is not null and text is not null").mapInArrow(normal, "id long, letters binary, floor int")
 
 
 def classes(table: DataFrame) -> DataFrame:
-    """(id, letters, copies): one row for all rows of equal letters, with their least id; written, not recomputed."""
-    grouped = table.groupBy("letters").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    return keep(grouped.select("id", "letters", "copies"), "classes")
+    """(id, letters, copies, floor): one row for all rows of equal letters, with their least id; written, not recomputed."""
+    grouped = table.groupBy("letters").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("floor").alias("floor"))
+    return keep(grouped.select("id", "letters", "copies", "floor"), "classes")
 
 
 def size_of(table: DataFrame) -> int:
@@ -136,13 +133,6 @@ def buckets_for(letters: int, per_bucket: int = 3_000_000) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(letters, 1) / per_bucket))))
 
 
-def _planes(values: np.ndarray) -> tuple[int, bytes]:
-    """Unsigned numbers, byte by byte: all lowest bytes first; bytes that are zero throughout are left out."""
-    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
-    used = int(np.ceil(int(values.max()).bit_length() / 8)) if len(values) else 0
-    return used, np.ascontiguousarray(wide[:, :used].T).tobytes()
-
-
 class Seeds:
     """Seeds of one side: place in the hash order, id, surroundings, the stretches that chose it, how many a pair must share."""
 
@@ -157,33 +147,14 @@ class Seeds:
     def take(self, which: np.ndarray | slice) -> Seeds:
         return Seeds(**{k: v[which] for k, v in self.parts.items()})
 
-    def block(self, base: int) -> bytes:
+    def block(self) -> bytes:
         """Bytes of the seeds, which are in the order of slot."""
-        least = int(self.id.min())
-        head, body = [len(self.slot), base, least], []
-        for values in (np.diff(self.slot, prepend=np.uint64(base)), (self.id - least).astype(np.uint64), self.left, self.right, self.chose, self.need):
-            used, data = _planes(values)
-            head.append(used)
-            body.append(data)
-        return _squeeze(np.array(head, "<i8").tobytes() + b"".join(body))
-
-    @staticmethod
-    def of(block: bytes) -> Seeds:
-        data = _expand(block)
-        n, base, least, *used = np.frombuffer(data, "<i8", 9).tolist()
-        at, parts = 72, []
-        for u in used:
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :u] = np.frombuffer(data, np.uint8, u * n, at).reshape(u, n).T
-            at += u * n
-            parts.append(wide.view("<u8").reshape(-1))
-        slot = (np.cumsum(parts[0]) + np.uint64(base)).astype(np.uint64)
-        return Seeds(slot=slot, id=parts[1].astype(np.int64) + least, left=parts[2].astype(np.uint16), right=parts[3].astype(np.uint16), chose=parts[4].astype(np.uint8), need=parts[5].astype(np.uint8))
+        return B.write([self.parts[f] for f in self.FIELDS])
 
     @staticmethod
     def joined(blocks: list[bytes]) -> Seeds:
-        all_ = [Seeds.of(b) for b in blocks]
-        return Seeds(**{k: np.concatenate([s.parts[k] for s in all_]) for k in Seeds.FIELDS})
+        slot, ids, left, right, chose, need = B.read_all(blocks, len(Seeds.FIELDS))
+        return Seeds(slot=slot.view(np.uint64), id=ids, left=left.astype(np.uint16), right=right.astype(np.uint16), chose=chose.astype(np.uint8), need=need.astype(np.uint8))
 
 
 Weigh = Callable[[L.Batch, np.ndarray, np.ndarray, np.ndarray], np.ndarray]  # batch, record, seed and choice of each place
@@ -207,7 +178,7 @@ def seed_blocks(table: DataFrame, rule: Rule, k: int, buckets: int, weigh: Weigh
             s = s.take(np.argsort(s.slot, kind="stable"))
             edges = np.searchsorted(s.slot >> shift, np.arange(buckets + 1, dtype=np.uint64))
             some = np.flatnonzero(edges[1:] > edges[:-1])
-            blocks = [s.take(slice(edges[b], edges[b + 1])).block(int(b) << int(shift)) for b in some.tolist()]
+            blocks = [s.take(slice(edges[b], edges[b + 1])).block() for b in some.tolist()]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), side), pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "side", "block"])
 
         for b in batches:
@@ -248,8 +219,9 @@ def _meetings(keys: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.nda
         step += 1
 
 
-def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000, many: int = 50) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids proposed by the seeds of one bucket, in portions; each portion holds a pair once.
+def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000, many: int = 50) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of ids proposed by the seeds of one bucket, with the number of common stretches there, in portions;
+    each portion holds a pair once.
 
     Without side, the lower id comes first; with it, that of side 0. Seeds that more than ``many`` places
     share are first told apart by the letters around them, so that only places that agree in a whole stretch
@@ -276,12 +248,12 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
 
     found, held = [], 0
 
-    def portion() -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    def portion() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, n = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        return a[new], b[new]
+        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return a[new], b[new], np.add.reduceat(n[order], new)
 
     for i, j in meetings():
         if side is None:
@@ -295,7 +267,7 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
         shared = by_left[s.left[i] ^ s.left[j]] & by_right[s.right[i] ^ s.right[j]] & s.chose[i] & s.chose[j]
         good = np.flatnonzero(other & (np.bitwise_count(shared) >= s.need[i]))
         if len(good):
-            found.append((s.id[i[good]], s.id[j[good]]))
+            found.append((s.id[i[good]], s.id[j[good]], np.bitwise_count(shared[good]).astype(np.int32)))
             held += len(good)
         if held >= chunk:
             found = [portion()]
@@ -316,14 +288,13 @@ def proposed(blocks: DataFrame, rule: Rule, k: int, two_sides: bool = False) ->
         s = Seeds.joined(blocks_)
         side = None
         if two_sides:
-            counts = [int.from_bytes(_expand(b)[:8], "little") for b in blocks_]
+            counts = [B.length(b) for b in blocks_]
             side = np.repeat(np.array(table.column("side").to_pylist(), np.int8), counts)
         parts = list(proposals(s, w, side))
-        a = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, np.int64)
-        b = np.concatenate([y for _, y in parts]) if parts else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b, n = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0, np.int64)] * 3
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int32())})
 
-    return blocks.groupBy("bucket").applyInArrow(probe, "a long, b long")
+    return blocks.groupBy("bucket").applyInArrow(probe, "a long, b long, n int")
 
 
 def common_terms(left: L.Batch, right: L.Batch, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -347,9 +318,9 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Rule) ->
             kept = pa.array(good)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(common[good], pa.int32()), pa.array(either[good], pa.int32())], ["a", "b", "common", "either"])
 
-    # By a first: the duplicates fall away in the partitions that the first join needs anyway.
-    once = pairs.repartition("a").dropDuplicates(["a", "b"])
-    with_a = once.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la")), "a")
+    # By a first: what the buckets show of a pair is added up in the partitions that the first join needs anyway.
+    once = pairs.repartition("a").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    with_a = once.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la"), "floor"), "a").filter("n >= floor").select("a", "b", "la")
     with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb")), "b")
     return with_b.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long, common int, either int")
 

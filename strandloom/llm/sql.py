@@ -63,5 +63,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": P1,
         "p2_found": f"select term, mark from ({_MARKED}) where mark is not null",
         "p2_counts": _MARKED,
+        "p3_found": P3,
+        "p3_shares": f"""select row_id, letters, coalesce(shared, 0)::bigint as shared, case when letters > 0 then round(coalesce(shared, 0) / letters, 6) end as share
+from (select row_id, coalesce(len(letters), 0) as letters from ({_rows('train_df')})) left join
+(select row_id, sum(span_end - span_start + 1)::bigint as shared from ({P3}) group by row_id) using (row_id)""",
+        "p4_found": P4,
         "p5_found": P5,
     }

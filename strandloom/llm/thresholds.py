@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strandloom.llm import letters as L
-from strandloom.llm.simjoin import SKIP, Rule, Weigh, _expand, _squeeze, least_common
+from strandloom.llm.blocks import expand, squeeze
+from strandloom.llm.simjoin import SKIP, Rule, Weigh, spending
 
 #: The counts of seeds are kept in 2 ** CELLS cells, whatever the size of the collection: 4 MB in a broadcast.
 CELLS = 22
@@ -38,20 +39,20 @@ def crowding(table: DataFrame, rule: Rule, k: int) -> np.ndarray:
         for b in batches:
             _, seeds, _ = L.sampled(L.unpack(b.column(0)).codes, k, w, rule.term, rule.distinct)
             cells += np.bincount(cell(seeds), minlength=1 << CELLS).astype(np.uint32)
-        blocks = [_squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in cells.reshape(_SLICES, width)]
+        blocks = [squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for x in cells.reshape(_SLICES, width)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES), pa.int32()), pa.array(blocks, pa.binary())], ["slice", "block"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for block in group.column("block").to_pylist():
-            total += np.ascontiguousarray(np.frombuffer(_expand(block), np.uint8).reshape(4, width).T).view(np.uint32).reshape(-1)
+            total += np.ascontiguousarray(np.frombuffer(expand(block), np.uint8).reshape(4, width).T).view(np.uint32).reshape(-1)
         logs = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pa.table({"slice": group.column("slice")[:1], "block": pa.array([_squeeze(logs.tobytes())], pa.binary())})
+        return pa.table({"slice": group.column("slice")[:1], "block": pa.array([squeeze(logs.tobytes())], pa.binary())})
 
     parts = table.select("letters").mapInArrow(count, "slice int, block binary").groupBy("slice").applyInArrow(add, "slice int, block binary")
     out = np.zeros((_SLICES, width), np.uint8)
     for row in parts.collect():  # _SLICES rows of 128 KB
-        out[row["slice"]] = np.frombuffer(_expand(bytes(row["block"])), np.uint8)
+        out[row["slice"]] = np.frombuffer(expand(bytes(row["block"])), np.uint8)
     return out.reshape(-1)
 
 
@@ -86,15 +87,15 @@ def allocate(sizes: np.ndarray, costs: np.ndarray, budgets: np.ndarray) -> np.nd
     return out
 
 
-def weigher(rule: Rule, gap: int = 7, crowded: int = 6, most: int = 24):
+def weigher(rule: Rule, crowded: int = 4, most: int = 24):
     """For simjoin.links(): thresholds for the partitions whose cell has over 2 ** crowded seeds, 1 elsewhere.
 
-    gap: least terms a break costs (see least_common()). most: no record spends a larger budget than this.
+    most: no record spends a larger budget than this.
     """
 
     def weigh_by(table: DataFrame, k: int, letters: int) -> Weigh:
         shared = table.sparkSession.sparkContext.broadcast(crowding(table, rule, k))
-        budget_of = np.minimum(least_common(np.arange(1, 4096), rule, rule.stretch, gap) - 1, most)
+        budget_of = np.minimum(spending(rule)[0], most)
 
         def weigh(batch: L.Batch, which: np.ndarray, seeds: np.ndarray, chose: np.ndarray) -> np.ndarray:
             need = np.ones(len(seeds), np.uint8)
@@ -105,7 +106,7 @@ def weigher(rule: Rule, gap: int = 7, crowded: int = 6, most: int = 24):
             rows, row_of = np.unique(which[hot], return_inverse=True)
             nth = np.arange(len(hot)) - np.searchsorted(row_of, row_of)
             terms = np.bincount((L.distinct_terms(batch, rule.term) >> (2 * rule.term)).astype(np.int64), minlength=len(batch))[rows]
-            budgets = budget_of[np.minimum(terms, len(budget_of)) - 1]
+            budgets = budget_of[np.minimum(terms, len(budget_of) - 1)]
             size = np.bitwise_count(chose[hot])
             for group in np.array_split(np.arange(len(rows)), max(1, len(rows) * (int(nth.max()) + 1) // 200_000)):
                 if not len(group):
