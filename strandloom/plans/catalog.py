@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.plans import model_queries, sequence_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for part in (model_queries, sequence_queries) for q in part.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return model_queries.SQL | sequence_queries.SQL

@@ -8,6 +8,7 @@ a lost executor costs recomputed tasks, never results.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -35,13 +36,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which cuts its lineage."""
+def keep(df: DataFrame, name: str = "table", free: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
+
+    free: let go of the shuffle files that led to it at once. Spark removes them when the driver collects its garbage,
+    which may otherwise come long after a large step.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
