@@ -19,7 +19,8 @@ for _code, _letter in enumerate(ALPHABET):
 _LUT[ord("U")] = _LUT[ord("u")] = ALPHABET.index("T")
 _NAMES = np.frombuffer(ALPHABET.encode(), np.uint8)
 
-#: Three letters in a byte, base 5.
+#: Three letters in a byte, base 5, or four, base 4.
+_QUADS = np.stack([np.arange(256) >> s & 3 for s in (6, 4, 2, 0)], axis=1).astype(np.uint8)
 _TRIPLES = np.stack([np.arange(256) // 25 % 5, np.arange(256) // 5 % 5, np.arange(256) % 5], axis=1).astype(np.uint8)
 
 
@@ -84,41 +85,54 @@ def normalise(column: pa.Array) -> Batch:
 
 
 def pack(batch: Batch) -> pa.Array:
-    """Each record as bytes: first its length modulo 3, then three letters a byte. Equal letters, equal bytes."""
-    groups = (batch.lengths + 2) // 3
-    first = np.cumsum(groups) - groups
-    flat = np.zeros(3 * int(groups.sum()), np.uint8)
-    inside = np.arange(int(batch.lengths.sum())) - np.repeat(np.cumsum(batch.lengths) - batch.lengths, batch.lengths)
-    flat[inside + np.repeat(3 * first, batch.lengths)] = batch.codes[inside + np.repeat(batch.starts, batch.lengths)]
-    body = flat.reshape(-1, 3) @ np.array([25, 5, 1], np.uint8)
+    """Each record as bytes; equal letters, equal bytes. The first byte is the number of letters in the last group, plus 8 if
+    groups are of three letters in base 5 (records with N) and not of four in base 4 (all others)."""
+    marks = np.append(0, np.cumsum(batch.codes > 3))
+    per_row = np.where(marks[batch.starts + batch.lengths] > marks[batch.starts], 3, 4)
+    groups = (batch.lengths + per_row - 1) // per_row
     offsets = np.zeros(len(batch) + 1, np.int32)
     np.cumsum(groups + 1, out=offsets[1:])
     out = np.empty(int(offsets[-1]), np.uint8)
-    head = np.zeros(len(out), bool)
-    head[offsets[:-1]] = True
-    out[head] = batch.lengths % 3
-    out[~head] = body
+    out[offsets[:-1]] = batch.lengths - (groups - 1) * per_row * (groups > 0) + 8 * (per_row == 3)
+    for size, base in ((4, 4), (3, 5)):
+        mine = np.flatnonzero((per_row == size) & (groups > 0))
+        if not len(mine):
+            continue
+        n, g = batch.lengths[mine], groups[mine]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        flat = np.zeros(size * int(g.sum()), np.uint8)
+        flat[inside + np.repeat(size * (np.cumsum(g) - g), n)] = batch.codes[inside + np.repeat(batch.starts[mine], n)]
+        body = flat.reshape(-1, size) @ (base ** np.arange(size - 1, -1, -1)).astype(np.uint8)
+        out[np.arange(int(g.sum())) - np.repeat(np.cumsum(g) - g, g) + np.repeat(offsets[:-1][mine] + 1, g)] = body
     return pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
 def unpack(column: pa.Array) -> Batch:
     """The inverse of pack()."""
     data, sizes = _flat(column)
-    head = np.zeros(len(data), bool)
-    head[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    lengths = np.zeros(len(sizes), np.int64)
+    first = np.cumsum(sizes) - sizes
     groups = np.maximum(sizes - 1, 0)
-    rest = data[head].astype(np.int64)
-    lengths[sizes > 0] = 3 * groups[sizes > 0] - np.where(rest == 0, 0, 3 - rest)
-    letters = _TRIPLES[data[~head]].reshape(-1)
-    pad = 3 * groups - lengths
-    if pad.any():
-        ends = 3 * np.cumsum(groups)
-        drop = np.zeros(len(letters) + 1, np.int8)
-        np.add.at(drop, ends - pad, 1)
-        np.add.at(drop, ends, -1)
-        letters = letters[np.cumsum(drop[:-1]) == 0]
-    return _laid(letters, lengths)
+    head = np.zeros(len(sizes), np.int64)
+    head[sizes > 0] = data[first[sizes > 0]]
+    per_row = np.where(head >= 8, 3, 4)
+    lengths = np.where(groups > 0, (groups - 1) * per_row + (head & 7), 0)
+    out = _laid(np.zeros(0, np.uint8), np.zeros(len(sizes), np.int64)) if not len(sizes) else _empty(lengths)
+    for size, table in ((4, _QUADS), (3, _TRIPLES)):
+        mine = np.flatnonzero((per_row == size) & (groups > 0))
+        if not len(mine):
+            continue
+        g, n = groups[mine], lengths[mine]
+        body = data[np.arange(int(g.sum())) - np.repeat(np.cumsum(g) - g, g) + np.repeat(first[mine] + 1, g)]
+        letters = table[body].reshape(-1)
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out.codes[inside + np.repeat(out.starts[mine], n)] = letters[inside + np.repeat(size * (np.cumsum(g) - g), n)]
+    return out
+
+
+def _empty(lengths: np.ndarray) -> Batch:
+    starts = np.zeros(len(lengths), np.int64)
+    np.cumsum(lengths[:-1] + 1, out=starts[1:])
+    return Batch(np.full(int(lengths.sum()) + len(lengths), 4, np.uint8), starts, lengths.astype(np.int64))
 
 
 def rolling(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -103,12 +103,12 @@ def overlaps(train: DataFrame, test: DataFrame, id_col: str, text_col: str, rule
     """
     rows = [J.rows(df, id_col, text_col, rule) for df in (train, test)]
     classes = [J.classes(r) for r in rows]
-    both = classes[0].select("id", "letters").unionAll(classes[1].select("id", "letters"))
+    both = classes[0].select("id", "letters", "floor").unionAll(classes[1].select("id", "letters", "floor"))
     letters = J.size_of(both)
     k, buckets = rule.seed_for(letters), J.buckets_for(letters)
     weigh = weigher(rule)(both, k, letters)
     blocks = J.seed_blocks(classes[0], rule, k, buckets, weigh, 0).unionAll(J.seed_blocks(classes[1], rule, k, buckets, weigh, 1))
-    found = J.verified(J.proposed(blocks, rule, k, two_sides=True), classes[0], classes[1], rule)
+    found = J.verified(J.proposed(blocks, rule, k, buckets, two_sides=True), classes[0], classes[1], rule)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

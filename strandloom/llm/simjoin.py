@@ -41,7 +41,7 @@ class Rule:
     threshold, term, min_terms: pairs with at least this Jaccard index of their terms; records with fewer
     than min_terms distinct terms are not compared. stretch: length of the common stretch that proposes a
     pair. gap: terms that a break costs at least, on average (see least_common()).
-    hidden: share of the stretches two similar records must have in common that thresholds may hide. seed: length of a seed; None takes 12 or, for larger inputs, more, so that chance matches per
+    hidden: share of the stretches two similar records must have in common that thresholds may hide. seed: length of a seed; None takes 11 or, for larger inputs, more, so that chance matches per
     record stay bounded. It changes the work, never the result.
     """
 
@@ -62,7 +62,7 @@ class Rule:
     def seed_for(self, letters: int) -> int:
         if self.seed:
             return min(self.seed, self.stretch)
-        fit = 12
+        fit = 11
         while fit < min(self.stretch, 24) and 4**fit < letters / 8:
             fit += 1
         return max(min(fit, self.stretch), self.stretch - 7)
@@ -120,12 +120,12 @@ def rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
 def classes(table: DataFrame) -> DataFrame:
     """(id, letters, copies, floor): one row for all rows of equal letters, with their least id; written, not recomputed."""
     grouped = table.groupBy("letters").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("floor").alias("floor"))
-    return keep(grouped.select("id", "letters", "copies", "floor"), "classes")
+    return keep(grouped.select("id", "letters", "copies", "floor"), "classes", free=True)
 
 
 def size_of(table: DataFrame) -> int:
-    """Letters of all classes."""
-    return 3 * (table.agg(F.sum(F.octet_length("letters") - 1)).first()[0] or 0)
+    """Letters of all classes, about."""
+    return 4 * (table.agg(F.sum(F.octet_length("letters") - 1)).first()[0] or 0)
 
 
 def buckets_for(letters: int, per_bucket: int = 3_000_000) -> int:
@@ -134,9 +134,10 @@ def buckets_for(letters: int, per_bucket: int = 3_000_000) -> int:
 
 
 class Seeds:
-    """Seeds of one side: place in the hash order, id, surroundings, the stretches that chose it, how many a pair must share."""
+    """Seeds of one side: place in the hash order, id, surroundings, the stretches that chose it, how many a pair
+    must share there, and how many in all."""
 
-    FIELDS = ("slot", "id", "left", "right", "chose", "need")
+    FIELDS = ("slot", "id", "left", "right", "chose", "need", "floor")
 
     def __init__(self, **parts: np.ndarray) -> None:
         self.parts = parts
@@ -153,15 +154,15 @@ class Seeds:
 
     @staticmethod
     def joined(blocks: list[bytes]) -> Seeds:
-        slot, ids, left, right, chose, need = B.read_all(blocks, len(Seeds.FIELDS))
-        return Seeds(slot=slot.view(np.uint64), id=ids, left=left.astype(np.uint16), right=right.astype(np.uint16), chose=chose.astype(np.uint8), need=need.astype(np.uint8))
+        slot, ids, left, right, chose, need, floor = B.read_all(blocks, len(Seeds.FIELDS))
+        return Seeds(slot=slot.view(np.uint64), id=ids, left=left.astype(np.uint16), right=right.astype(np.uint16), chose=chose.astype(np.uint8), need=need.astype(np.uint8), floor=floor.astype(np.int32))
 
 
 Weigh = Callable[[L.Batch, np.ndarray, np.ndarray, np.ndarray], np.ndarray]  # batch, record, seed and choice of each place
 
 
 def seed_blocks(table: DataFrame, rule: Rule, k: int, buckets: int, weigh: Weigh | None = None, side: int = 0) -> DataFrame:
-    """(bucket, side, block) of the seeds of table (id, letters).
+    """(bucket, side, block) of the seeds of table (id, letters, floor).
 
     weigh(batch, rows, seeds, chose) gives, for each seed, the number of common windows needed there (SKIP: this
     record proposes nothing by this seed); without it a single window is enough everywhere.
@@ -187,7 +188,7 @@ def seed_blocks(table: DataFrame, rule: Rule, k: int, buckets: int, weigh: Weigh
             which = batch.rows()[places]
             left, right = L.flanks(batch.codes, places, k, w - 1)
             need = weigh(batch, which, seeds, chose) if weigh else np.ones(len(places), np.uint8)
-            held.append(Seeds(slot=(seeds.astype(np.uint64) * odd) & mask, id=b.column(0).to_numpy()[which], left=left, right=right, chose=chose, need=need))
+            held.append(Seeds(slot=(seeds.astype(np.uint64) * odd) & mask, id=b.column(0).to_numpy()[which], left=left, right=right, chose=chose, need=need, floor=b.column(2).to_numpy()[which]))
             count += len(batch)
             if count >= BLOCK_ROWS:
                 yield sent()
@@ -195,7 +196,7 @@ def seed_blocks(table: DataFrame, rule: Rule, k: int, buckets: int, weigh: Weigh
         if held and sum(len(h.slot) for h in held):
             yield sent()
 
-    return table.select("id", "letters").mapInArrow(cut, "bucket int, side int, block binary")
+    return table.select("id", "letters", "floor").mapInArrow(cut, "bucket int, side int, block binary")
 
 
 def _agreeing(w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,9 +220,9 @@ def _meetings(keys: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.nda
         step += 1
 
 
-def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000, many: int = 50) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of ids proposed by the seeds of one bucket, with the number of common stretches there, in portions;
-    each portion holds a pair once.
+def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000, many: int = 50) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of ids proposed by the seeds of one bucket, the number of common stretches there and the floor, in portions;
+    each portion holds a pair once, in the order of ids.
 
     Without side, the lower id comes first; with it, that of side 0. Seeds that more than ``many`` places
     share are first told apart by the letters around them, so that only places that agree in a whole stretch
@@ -248,12 +249,8 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
 
     found, held = [], 0
 
-    def portion() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, n = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return a[new], b[new], np.add.reduceat(n[order], new)
+    def portion() -> tuple[np.ndarray, ...]:
+        return added(*(np.concatenate(x) for x in zip(*found)))
 
     for i, j in meetings():
         if side is None:
@@ -267,7 +264,7 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
         shared = by_left[s.left[i] ^ s.left[j]] & by_right[s.right[i] ^ s.right[j]] & s.chose[i] & s.chose[j]
         good = np.flatnonzero(other & (np.bitwise_count(shared) >= s.need[i]))
         if len(good):
-            found.append((s.id[i[good]], s.id[j[good]], np.bitwise_count(shared[good]).astype(np.int32)))
+            found.append((s.id[i[good]], s.id[j[good]], np.bitwise_count(shared[good]).astype(np.int64), s.floor[i[good]].astype(np.int64)))
             held += len(good)
         if held >= chunk:
             found = [portion()]
@@ -279,8 +276,21 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
         yield portion()
 
 
-def proposed(blocks: DataFrame, rule: Rule, k: int, two_sides: bool = False) -> DataFrame:
-    """(a, b) proposed by equal seeds; a pair may come from several buckets."""
+def added(a: np.ndarray, b: np.ndarray, n: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, in order, with the sum of its n."""
+    if not len(a):
+        return a, b, n, floor
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[new], b[new], np.add.reduceat(n[order], new), floor[order[new]]
+
+
+def proposed(blocks: DataFrame, rule: Rule, k: int, buckets: int, two_sides: bool = False) -> DataFrame:
+    """(a, b): the pairs that show as many common stretches as they must, each once.
+
+    Buckets of seeds tell what they see of each pair, in compressed blocks by a hash of a; there it is added up.
+    """
     w = rule.stretch - k + 1
 
     def probe(table: pa.Table) -> pa.Table:
@@ -288,13 +298,24 @@ def proposed(blocks: DataFrame, rule: Rule, k: int, two_sides: bool = False) ->
         s = Seeds.joined(blocks_)
         side = None
         if two_sides:
-            counts = [B.length(b) for b in blocks_]
-            side = np.repeat(np.array(table.column("side").to_pylist(), np.int8), counts)
-        parts = list(proposals(s, w, side))
-        a, b, n = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0, np.int64)] * 3
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int32())})
-
-    return blocks.groupBy("bucket").applyInArrow(probe, "a long, b long, n int")
+            side = np.repeat(np.array(table.column("side").to_pylist(), np.int8), [B.length(b) for b in blocks_])
+        some, out = [], []
+        for portion in proposals(s, w, side):
+            target = (L.mixed(portion[0].astype(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
+            order = np.argsort(target, kind="stable")
+            edges = np.searchsorted(target[order], np.arange(buckets + 1))
+            for t in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                some.append(t)
+                out.append(B.write([c[order[edges[t] : edges[t + 1]]] for c in portion]))
+        return pa.table({"target": pa.array(some, pa.int32()), "block": pa.array(out, pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        a, b, n, floor = added(*B.read_all(table.column("block").to_pylist(), 4))
+        enough = n >= floor
+        return pa.table({"a": a[enough], "b": b[enough]})
+
+    seen = blocks.groupBy("bucket").applyInArrow(probe, "target int, block binary")
+    return seen.groupBy("target").applyInArrow(add, "a long, b long")
 
 
 def common_terms(left: L.Batch, right: L.Batch, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,9 +339,7 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Rule) ->
             kept = pa.array(good)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(common[good], pa.int32()), pa.array(either[good], pa.int32())], ["a", "b", "common", "either"])
 
-    # By a first: what the buckets show of a pair is added up in the partitions that the first join needs anyway.
-    once = pairs.repartition("a").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    with_a = once.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la"), "floor"), "a").filter("n >= floor").select("a", "b", "la")
+    with_a = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la")), "a")
     with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb")), "b")
     return with_b.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long, common int, either int")
 
@@ -330,7 +349,7 @@ def links(table: DataFrame, rule: Rule, weigh_by: Callable[[DataFrame, int, int]
     letters = size_of(table)
     k, n = rule.seed_for(letters), buckets_for(letters)
     weigh = weigh_by(table, k, letters) if weigh_by else None
-    return verified(proposed(seed_blocks(table, rule, k, n, weigh), rule, k), table, table, rule)
+    return verified(proposed(seed_blocks(table, rule, k, n, weigh), rule, k, n), table, table, rule)
 
 
 def copies_of(table: DataFrame, groups: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def allocate(sizes: np.ndarray, costs: np.ndarray, budgets: np.ndarray) -> np.nd
     return out
 
 
-def weigher(rule: Rule, crowded: int = 4, most: int = 24):
+def weigher(rule: Rule, crowded: int = 6, most: int = 24):
     """For simjoin.links(): thresholds for the partitions whose cell has over 2 ** crowded seeds, 1 elsewhere.
 
     most: no record spends a larger budget than this.
