@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +55,11 @@ class Boundaries:
 
 
 class StrongestCut:
-    """Sparse table for range maxima; of equal values the rightmost wins."""
+    """Sparse table for range maxima of values from -2 on; of equal values the rightmost wins."""
 
     def __init__(self, values: np.ndarray, widest: int) -> None:
         at = np.arange(len(values), dtype=np.int64)
-        self.levels = [(values.astype(np.int64) + 1) << 40 | at]
+        self.levels = [(values.astype(np.int64) + 2) << 40 | at]
         width = 1
         while 2 * width <= min(widest, len(values)):
             low = self.levels[-1]
@@ -79,8 +80,9 @@ class StrongestCut:
 def cuts(ids: np.ndarray, sizes: np.ndarray, strengths: np.ndarray, most: int, overlap: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of the pieces, in tokens of the whole array, of all texts longer than most.
 
-    A piece has at most ``most`` tokens and, but for the last, at least ``least``. Places where this or the next piece would
-    begin or end inside a letter are not cut unless the window has no other.
+    A piece has at most ``most`` tokens and, but for the last, at least ``least``. No piece ends inside a letter unless the
+    window has no other place. Cuts whose overlap begins inside a letter come last among the others; if one must be
+    taken, the overlap begins with the whole letter, up to 3 tokens earlier.
     """
     upto = np.cumsum(sizes)
     text = np.flatnonzero(sizes > most)
@@ -89,6 +91,7 @@ def cuts(ids: np.ndarray, sizes: np.ndarray, strengths: np.ndarray, most: int, o
     if overlap:  # the next piece begins overlap tokens back; that must not be inside a letter either
         inside = np.flatnonzero(strengths < 0) + overlap
         able[inside[inside < len(able)]] = -1
+    able[strengths < 0] = -2
     table = StrongestCut(able, most)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(text):
@@ -98,7 +101,10 @@ def cuts(ids: np.ndarray, sizes: np.ndarray, strengths: np.ndarray, most: int, o
             cut = table.query(start[~whole] + least - 1, start[~whole] + most - 1)  # the place after token t has number t
             end[~whole] = cut + 1
         out.append((text, start, end))
+        begin = start[~whole]
         text, start, stop = text[~whole], end[~whole] - overlap, stop[~whole]
+        for _ in range(3 if overlap else 0):
+            start = start - ((strengths[start - 1] < 0) & (start > begin + 1))
     if not out:
         return text, start, stop
     text, start, end = (np.concatenate(x) for x in zip(*out))
@@ -122,9 +128,8 @@ def split(df: DataFrame, id_col: str, text_col: str, limits: DataFrame, vocabula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, known = T.encoder(path), None
-        for b in batches:
+        for texts, ids_ in _portions(batches):
             known = known or Boundaries(e.vocabulary)
-            texts, ids_ = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False)
             flat, sizes = e.encode(texts)
             if not len(flat):
                 continue
@@ -155,6 +160,16 @@ def split(df: DataFrame, id_col: str, text_col: str, limits: DataFrame, vocabula
     return picked.mapInArrow(run, schema)
 
 
+def _portions(batches: Iterator[pa.RecordBatch], letters: int = 1_000_000) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and ids, about so many letters at a time, which bounds the size of the tables; a text is never divided."""
+    for b in batches:
+        upto = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+        edges = np.append(0, np.flatnonzero(np.diff(upto // letters)) + 1).tolist() + [b.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                yield b.column(1).slice(lo, hi - lo).to_pylist(), b.column(0).slice(lo, hi - lo).to_numpy()
+
+
 def _strings(letters: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Bytes as strings; a piece that had to be cut inside a letter gets a replacement mark there."""
     array = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(letters))])
