@@ -284,7 +284,7 @@ def marks(df: DataFrame, id_col: str, text_col: str, length: int = 40) -> DataFr
     entries = first.filter("around is not null").select("id", "place", "around", o)
     entries = entries.select("id", "place", "o", F.substr("around", F.lit(f + 1) - F.col("o"), F.lit(length)).alias("window"))
     several = entries.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("window")
-    last = entries.join(several, "window").select("id", "place", F.shiftleft(F.lit(1).cast("long"), F.col("o")).alias("windows"))
+    last = entries.join(several, "window").select("id", "place", F.expr("shiftleft(1L, o)").alias("windows"))
     return first.filter("around is null").select("id", "place", "windows").unionAll(last)
 
 
