@@ -1,7 +1,8 @@
 """Kernels, as column expressions for pairs and as matrix products for blocks, and their bulk forms.
 
 All pairs of n rows are n * n values by definition. Bulk forms therefore work on blocks of rows: a block is one row of a
-table, blocks meet by a join on their group (the dataset), and each meeting is one matrix product. What a caller needs
+table, every block of one side is sent to every block of the other side of its group (the dataset), by an equi-join on
+group and block number that spreads the meetings evenly, and each meeting is one matrix product. What a caller needs
 are mostly sums over one side; those are reduced inside the block (class_sums), so only one short row per input row
 and block is shuffled, never the matrix.
 """
@@ -119,24 +120,37 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def blocks(df: DataFrame, by: str, size: int = BLOCK, cell: str | None = None) -> DataFrame:
-    """(by, ids, x, cells, d): rows (by, id, x) gathered into blocks of about size rows, as bytes."""
-    counts = df.groupBy(by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).alias("parts"))
-    dealt = df.select(by, "id", "x", (F.col(cell) if cell else F.lit(0)).cast("int").alias("cell")).join(counts, by)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+def blocks(df: DataFrame, by: str, size: int | None = None, cell: str | None = None) -> DataFrame:
+    """(by, part, parts, ids, x, cells, d): rows (by, id, x) gathered into blocks of about size rows, as bytes."""
+    size = size or BLOCK
+    counts = _parts(df, by, size)
+    dealt = df.select(by, "id", "x", (F.coalesce(F.col(cell).cast("int"), F.lit(0)) if cell else F.lit(0)).alias("cell")).join(counts, by)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def gather(table: pa.Table) -> pa.Table:
         ids, x = table.column("id").to_numpy(), matrix(table.column("x"))
         order = np.argsort(ids, kind="stable")
-        row = {by: table.column(by)[:1], "ids": pa.array([ids[order].tobytes()]), "x": pa.array([x[order].tobytes()]), "cells": pa.array([table.column("cell").to_numpy()[order].astype(np.int32).tobytes()]), "d": pa.array([x.shape[1]], pa.int32())}
+        row = {by: table.column(by)[:1], "part": table.column("part")[:1], "parts": table.column("parts")[:1], "ids": pa.array([ids[order].tobytes()]), "x": pa.array([x[order].tobytes()]), "cells": pa.array([table.column("cell").to_numpy()[order].astype(np.int32).tobytes()]), "d": pa.array([x.shape[1]], pa.int32())}
         return pa.table(row)
 
     kind = df.schema[by].dataType.simpleString()
-    return dealt.groupBy(by, "part").applyInArrow(gather, f"{by} {kind}, ids binary, x binary, cells binary, d int")
+    return dealt.groupBy(by, "part").applyInArrow(gather, f"{by} {kind}, part int, parts int, ids binary, x binary, cells binary, d int")
 
 
-def _meet(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
-    return left.join(right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c != by}), by)
+def _parts(df: DataFrame, by: str, size: int) -> DataFrame:
+    """(by, parts): the number of blocks of each group."""
+    return df.groupBy(by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias("parts"))
+
+
+def _meet(left: DataFrame, right: DataFrame | None, by: str, cell: str | None = None) -> DataFrame:
+    """Every block of left with every block of right in its group; without right, each two blocks of left once."""
+    mine = blocks(left, by, cell=cell)
+    other = mine if right is None else blocks(right, by, cell=cell)
+    if right is None:
+        sent = mine.withColumn("r_part", F.explode(F.sequence("part", F.col("parts") - 1)))
+    else:
+        sent = mine.join(_parts(right, by, BLOCK).withColumnRenamed("parts", "n"), by).withColumn("r_part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    return sent.join(other.withColumnsRenamed({c: f"r_{c}" for c in other.columns if c != by}), [by, "r_part"])
 
 
 def _sides(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +170,6 @@ def entries(left: DataFrame, right: DataFrame | None, kernel: Kernel, by: str =
     if (max(s.groupBy(by).count().agg(F.max("count")).first()[0] or 0 for s in sides)) > most:
         raise ValueError(f"more than {most} rows in a group: all pairs would be too many, use Nystrom features")
     gram = right is None
-    mine = blocks(left, by)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,13 +177,14 @@ def entries(left: DataFrame, right: DataFrame | None, kernel: Kernel, by: str =
                 ids, x, other, y, _ = _sides(b, n)
                 for lo in range(0, len(ids), 256):
                     k = kernel.block(x[lo : lo + 256], y)
-                    i, j = np.repeat(ids[lo : lo + 256], len(other)), np.tile(other, len(k))
-                    keep = i <= j if gram else slice(None)
-                    i, j, k = i[keep], j[keep], k.reshape(-1)[keep]
+                    i, j, k = np.repeat(ids[lo : lo + 256], len(other)), np.tile(other, len(k)), k.reshape(-1)
+                    if gram:
+                        keep = i <= j if b.column("part")[n].as_py() == b.column("r_part")[n].as_py() else slice(None)
+                        i, j, k = np.minimum(i, j)[keep], np.maximum(i, j)[keep], k[keep]
                     yield pa.RecordBatch.from_arrays([pa.array([b.column(by)[n].as_py()] * len(i), b.schema.field(by).type), pa.array(i), pa.array(j), pa.array(k)], [by, "i", "j", "k"])
 
     kind = left.schema[by].dataType.simpleString()
-    return _meet(mine, mine if gram else blocks(right, by), by).mapInArrow(values, f"{by} {kind}, i long, j long, k double")
+    return _meet(left, right, by).mapInArrow(values, f"{by} {kind}, i long, j long, k double")
 
 
 def class_sums(left: DataFrame, right: DataFrame, kernels: list[Kernel], cells: int, cell: str, by: str = "dataset") -> DataFrame:
@@ -191,7 +205,8 @@ def class_sums(left: DataFrame, right: DataFrame, kernels: list[Kernel], cells:
 
     kind = left.schema[by].dataType.simpleString()
     schema = f"{by} {kind}, id long, kernel int, " + ", ".join(f"s{i} double" for i in range(cells))
-    met = _meet(blocks(left, by), blocks(right, by, cell=cell), by).mapInArrow(sums, schema)
+    right = right.filter(F.col(cell).isNotNull())
+    met = _meet(left.withColumn(cell, F.lit(0)) if cell not in left.columns else left, right, by, cell).mapInArrow(sums, schema)
     return met.groupBy(by, "id", "kernel").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(cells)])
 
 

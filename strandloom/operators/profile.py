@@ -50,7 +50,16 @@ def describe(df: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
     return out.select(*by, "metric", "count", "mean", "std", "min", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max")
 
 
-def ranked(df: DataFrame, by: str | None, key: Column, name: str = "rn") -> DataFrame:
-    """Adds the place, from 1, in the order of md5(key) within by: a shuffle that is the same everywhere."""
-    w = Window.orderBy(F.md5(key.cast("string"))) if by is None else Window.partitionBy(by).orderBy(F.md5(key.cast("string")))
-    return df.withColumn(name, F.row_number().over(w))
+def ranked(df: DataFrame, by: str, key: Column, name: str = "rn") -> DataFrame:
+    """Adds the place, from 1, in the order of md5(key) within by: a shuffle that is the same everywhere.
+
+    Rows are numbered within slices of the hash, 4,096 a group, and slices by the counts of those before them, so a group
+    of any size is numbered in parallel.
+    """
+    hashed = df.withColumns({"__h": F.md5(key.cast("string"))}).withColumn("__slice", F.substring("__h", 1, 3))
+    sizes = hashed.groupBy(F.col(by).alias("__by"), F.col("__slice").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__by").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__by", "__s", F.coalesce(before, F.lit(0)).alias("__before"))
+    inner = hashed.withColumn("__place", F.row_number().over(Window.partitionBy(by, "__slice").orderBy("__h")))
+    out = inner.join(F.broadcast(offsets), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__slice") == F.col("__s")))
+    return out.withColumn(name, (F.col("__place") + F.col("__before")).cast("int")).drop("__h", "__slice", "__by", "__s", "__before", "__place")

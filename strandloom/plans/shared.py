@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,9 @@ def keep(df: DataFrame, name: str = "table", free: bool = False) -> DataFrame:
     if free:
         del df
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first collection only uncovers what the finished write still held
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.1)
     return spark.read.schema(schema).parquet(path)
 
 
