@@ -177,6 +177,17 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+def order_of(values: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers from 0 on; numbers and places are sorted together where both fit 64 bits."""
+    n, most = len(values), int(values.max()) if len(values) else 0
+    shift = max(1, n.bit_length())
+    if most.bit_length() + shift > 63:
+        return np.argsort(values, kind="stable")
+    keys = (values.astype(np.int64) << shift) | np.arange(n)
+    keys.sort()
+    return keys & ((1 << shift) - 1)
+
+
 def distinct_terms(batch: Batch, k: int) -> np.ndarray:
     """Sorted distinct (record << 2k | term) of a batch; k up to 16."""
     value, good = rolling(batch.codes, k)
@@ -212,17 +223,18 @@ def sampled(codes: np.ndarray, k: int, w: int, term: int = 8, distinct: int = 0)
     same place of the stretch (of equal hashes the leftmost). Stretches with fewer than distinct different
     terms (runs of one letter, short repeats) give none.
     """
-    value, good = rolling(codes, k)
+    value, _ = rolling(codes, k)
     if len(value) < w:
         return np.empty(0, np.int64), value[:0], np.empty(0, np.uint8)
-    order = (mixed(value) >> np.uint64(33)).astype(np.uint32)
-    order[~good] = 0xFFFFFFFF
     n = len(value) - w + 1
-    least, at, full = order[:n].copy(), np.zeros(n, np.uint8), good[:n].copy()
+    order = (mixed(value) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFF8)
+    least = order[:n].copy()  # the hash of the least seed, its place in the window in the lowest three bits
     for j in range(1, w):
-        np.copyto(at, j, where=order[j : j + n] < least)
-        np.minimum(least, order[j : j + n], out=least)
-        full &= good[j : j + n]
+        np.minimum(least, order[j : j + n] | np.uint32(j), out=least)
+    at = (least & np.uint32(7)).astype(np.uint8)
+    marks = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(codes > 3, out=marks[1:])
+    full = marks[k + w - 1 :][:n] == marks[:n]
     if distinct:
         full &= distinct_in_windows(codes, term, k + w - 1)[:n] >= distinct
     chosen = np.zeros(len(value), np.uint8)

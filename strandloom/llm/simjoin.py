@@ -100,7 +100,8 @@ def spending(rule: Rule, upto: int = 4096) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
-    """(id, letters, floor) of the records that are compared: those with an id and at least min_terms distinct terms.
+    """(id, letters, floor) of the records that are compared: those with an id and at least min_terms distinct terms; written,
+    a quarter of the texts' size, as it is read several times.
 
     floor is the number of common stretches that a pair must show from this record's side (see spending()).
     """
@@ -114,7 +115,7 @@ def rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(fits), L.pack(batch).filter(fits), pa.array(floors[np.minimum(n, len(floors) - 1)], pa.int32()).filter(fits)], ["id", "letters", "floor"])
 
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.filter("id is not null and text is not null").mapInArrow(normal, "id long, letters binary, floor int")
+    return keep(picked.filter("id is not null and text is not null").mapInArrow(normal, "id long, letters binary, floor int"), "rows")
 
 
 def classes(table: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def seed_blocks(table: DataFrame, rule: Rule, k: int, buckets: int, weigh: Weigh
 
         def sent() -> pa.RecordBatch:
             s = Seeds(**{f: np.concatenate([h.parts[f] for h in held]) for f in Seeds.FIELDS})
-            s = s.take(np.argsort(s.slot, kind="stable"))
+            s = s.take(L.order_of(s.slot))
             edges = np.searchsorted(s.slot >> shift, np.arange(buckets + 1, dtype=np.uint64))
             some = np.flatnonzero(edges[1:] > edges[:-1])
             blocks = [s.take(slice(edges[b], edges[b + 1])).block() for b in some.tolist()]
@@ -228,7 +229,7 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
     share are first told apart by the letters around them, so that only places that agree in a whole stretch
     of k + w - 1 letters ever meet.
     """
-    order = np.argsort(s.slot, kind="stable")
+    order = L.order_of(s.slot)
     slot = s.slot[order]
     size = np.diff(np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]])))
     size = np.repeat(size, size)
@@ -243,7 +244,7 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
             hot = shared_by_many[s.chose[shared_by_many] >> np.uint8(left) & 1 > 0]
             near = (s.left[hot] & np.uint16(4**left - 1)).astype(np.uint64) << np.uint64(2 * (w - 1 - left)) | (s.right[hot] & np.uint16(4 ** (w - 1 - left) - 1)).astype(np.uint64)
             keys = s.slot[hot] << np.uint64(2 * (w - 1)) | near
-            by = np.argsort(keys, kind="stable")
+            by = L.order_of(keys)
             for x, y in _meetings(keys[by], chunk):
                 yield hot[by[x]], hot[by[y]]
 
@@ -280,6 +281,18 @@ def added(a: np.ndarray, b: np.ndarray, n: np.ndarray, floor: np.ndarray) -> tup
     """Each pair once, in order, with the sum of its n."""
     if not len(a):
         return a, b, n, floor
+    columns, least = (a, b, floor, n), (a.min(), b.min(), floor.min(), 0)
+    bits = [int(c.max() - low).bit_length() for c, low in zip(columns, least)]
+    if sum(bits) <= 63:  # all in one number: sorting numbers is far faster than ordering rows
+        keys = np.zeros(len(a), np.int64)
+        for c, low, w in zip(columns, least, bits):
+            keys = (keys << w) | (c - low)
+        keys.sort()
+        pair = keys >> bits[3]
+        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        n, pair = np.add.reduceat(keys & ((1 << bits[3]) - 1), new), pair[new]
+        floor, pair = (pair & ((1 << bits[2]) - 1)) + least[2], pair >> bits[2]
+        return (pair >> bits[1]) + least[0], (pair & ((1 << bits[1]) - 1)) + least[1], n, floor
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -315,16 +328,46 @@ def proposed(blocks: DataFrame, rule: Rule, k: int, buckets: int, two_sides: boo
         return pa.table({"a": a[enough], "b": b[enough]})
 
     seen = blocks.groupBy("bucket").applyInArrow(probe, "target int, block binary")
-    return seen.groupBy("target").applyInArrow(add, "a long, b long")
+    return keep(seen.groupBy("target").applyInArrow(add, "a long, b long"), "pairs", free=True)
 
 
-def common_terms(left: L.Batch, right: L.Batch, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For records side by side: the numbers of common terms, and of either's distinct terms."""
-    x, y = L.distinct_terms(left, term), L.distinct_terms(right, term)
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    shift, n = both.dtype.type(2 * term), len(left)
-    common = np.bincount((both[1:][both[1:] == both[:-1]] >> shift).astype(np.int64), minlength=n)
-    return common, np.bincount((x >> shift).astype(np.int64), minlength=n), np.bincount((y >> shift).astype(np.int64), minlength=n)
+def common_terms(left: pa.Array, right: pa.Array, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For packed records side by side: the numbers of common terms, and of either's distinct terms.
+
+    Records that recur on a side are unpacked once. Up to 8 letters, a bit set of all terms holds what the right
+    records have; longer terms are matched in order.
+    """
+    (x, of_x), (y, of_y) = (_distinct(c) for c in (left, right))
+    shift = 2 * term
+    tx, ty = (L.distinct_terms(L.unpack(c), term).astype(np.uint64) for c in (x, y))
+    rx, ry = ((t >> np.uint64(shift)).astype(np.int64) for t in (tx, ty))
+    nx, ny = np.bincount(rx, minlength=len(x)), np.bincount(ry, minlength=len(y))
+    n = nx[of_x]
+    ends, first = np.cumsum(n), np.cumsum(nx) - nx
+    total = int(ends[-1]) if len(ends) else 0
+    small = np.int32 if max(total, len(tx), len(y) << max(0, shift - 3)) < 1 << 31 else np.int64
+    mine = (tx & np.uint64((1 << shift) - 1)).astype(np.uint16 if shift <= 16 else np.uint64)
+    mine = mine[np.arange(total, dtype=small) + np.repeat((first[of_x] - (ends - n)).astype(small), n)]
+    if 3 <= shift <= 16 and len(y) << shift <= 1 << 31:
+        table = np.zeros(len(y) << (shift - 3), np.uint8)
+        at = (ty >> np.uint64(3)).astype(np.int64)
+        fresh = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+        if len(at):
+            table[at[fresh]] = np.bitwise_or.reduceat(np.uint8(1) << (ty & np.uint64(7)).astype(np.uint8), fresh)
+        places = np.repeat((of_y << (shift - 3)).astype(small), n)
+        places += mine >> 3
+        found = (table[places] >> (mine & 7).astype(np.uint8)) & np.uint8(1)
+    else:
+        wanted = (np.repeat(of_y, n).astype(np.uint64) << np.uint64(shift)) | mine.astype(np.uint64)
+        place = np.minimum(np.searchsorted(ty, wanted), max(len(ty) - 1, 0))
+        found = (ty[place] == wanted).astype(np.uint8) if len(ty) else np.zeros(len(wanted), np.uint8)
+    upto = np.append(0, np.cumsum(found, dtype=np.int64))
+    return upto[ends] - upto[ends - n], n, ny[of_y]
+
+
+def _distinct(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    coded = column.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
@@ -333,7 +376,7 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Rule) ->
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            common, m, n = common_terms(L.unpack(b.column(2)), L.unpack(b.column(3)), term)
+            common, m, n = common_terms(b.column(2), b.column(3), term)
             either = m + n - common
             good = common >= t * either - 1e-9
             kept = pa.array(good)
