@@ -30,6 +30,8 @@ from strandloom.llm import letters as L
 from strandloom.plans.shared import keep
 
 SKIP = 7
+#: Roles of a place in its bucket.
+KNOWN, ASKING, BOTH = 0, 1, 2
 #: Seeds are sent in blocks of about this many records a task.
 BLOCK_ROWS = 60_000
 
@@ -136,9 +138,9 @@ def buckets_for(letters: int, per_bucket: int = 3_000_000) -> int:
 
 class Seeds:
     """Seeds of one side: place in the hash order, id, surroundings, the stretches that chose it, how many a pair
-    must share there, and how many in all."""
+    must share there, and how many in all; role: BOTH, or, for seeds spread over several buckets, KNOWN or ASKING."""
 
-    FIELDS = ("slot", "id", "left", "right", "chose", "need", "floor")
+    FIELDS = ("slot", "id", "left", "right", "chose", "need", "floor", "role")
 
     def __init__(self, **parts: np.ndarray) -> None:
         self.parts = parts
@@ -155,32 +157,37 @@ class Seeds:
 
     @staticmethod
     def joined(blocks: list[bytes]) -> Seeds:
-        slot, ids, left, right, chose, need, floor = B.read_all(blocks, len(Seeds.FIELDS))
-        return Seeds(slot=slot.view(np.uint64), id=ids, left=left.astype(np.uint16), right=right.astype(np.uint16), chose=chose.astype(np.uint8), need=need.astype(np.uint8), floor=floor.astype(np.int32))
+        slot, ids, left, right, chose, need, floor, role = B.read_all(blocks, len(Seeds.FIELDS))
+        return Seeds(slot=slot.view(np.uint64), id=ids, left=left.astype(np.uint16), right=right.astype(np.uint16), chose=chose.astype(np.uint8), need=need.astype(np.uint8), floor=floor.astype(np.int32), role=role.astype(np.uint8))
 
 
-Weigh = Callable[[L.Batch, np.ndarray, np.ndarray, np.ndarray], np.ndarray]  # batch, record, seed and choice of each place
+#: Of batch and record, seed and choice of each place: stretches needed there, and buckets the seed is spread over.
+Weigh = Callable[[L.Batch, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def seed_blocks(table: DataFrame, rule: Rule, k: int, buckets: int, weigh: Weigh | None = None, side: int = 0) -> DataFrame:
     """(bucket, side, block) of the seeds of table (id, letters, floor).
 
-    weigh(batch, rows, seeds, chose) gives, for each seed, the number of common windows needed there (SKIP: this
-    record proposes nothing by this seed); without it a single window is enough everywhere.
+    weigh(batch, rows, seeds, chose) gives, for each seed, the number of common stretches needed there (SKIP: this
+    record proposes nothing by this seed), and over how many buckets its places are spread; without it a single stretch is
+    enough everywhere and nothing is spread. A place of a spread seed is KNOWN in one of its buckets and ASKING, unless
+    it proposes nothing, in all of them, so that a bucket never holds more than its share of the places of a seed that very
+    many records have.
     """
     w = rule.stretch - k + 1
     odd, mask, shift = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(4**k - 1), np.uint64(2 * k - buckets.bit_length() + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Seeds] = []
+        held: list[tuple[np.ndarray, Seeds]] = []
         count = 0
 
         def sent() -> pa.RecordBatch:
-            s = Seeds(**{f: np.concatenate([h.parts[f] for h in held]) for f in Seeds.FIELDS})
-            s = s.take(L.order_of(s.slot))
-            edges = np.searchsorted(s.slot >> shift, np.arange(buckets + 1, dtype=np.uint64))
-            some = np.flatnonzero(edges[1:] > edges[:-1])
-            blocks = [s.take(slice(edges[b], edges[b + 1])).block() for b in some.tolist()]
+            target = np.concatenate([t for t, _ in held])
+            s = Seeds(**{f: np.concatenate([h.parts[f] for _, h in held]) for f in Seeds.FIELDS})
+            order = L.order_of((target.astype(np.uint64) << np.uint64(2 * k)) | s.slot)
+            target, s = target[order], s.take(order)
+            some, first = np.unique(target, return_index=True)
+            blocks = [s.take(slice(x, y)).block() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(target)])]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), side), pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "side", "block"])
 
         for b in batches:
@@ -188,18 +195,37 @@ def seed_blocks(table: DataFrame, rule: Rule, k: int, buckets: int, weigh: Weigh
             places, seeds, chose = L.sampled(batch.codes, k, w, rule.term, rule.distinct)
             which = batch.rows()[places]
             left, right = L.flanks(batch.codes, places, k, w - 1)
-            need = weigh(batch, which, seeds, chose) if weigh else np.ones(len(places), np.uint8)
-            held.append(Seeds(slot=(seeds.astype(np.uint64) * odd) & mask, id=b.column(0).to_numpy()[which], left=left, right=right, chose=chose, need=need, floor=b.column(2).to_numpy()[which]))
+            need, spread = weigh(batch, which, seeds, chose) if weigh else (np.ones(len(places), np.uint8), np.ones(len(places), np.int64))
+            s = Seeds(slot=(seeds.astype(np.uint64) * odd) & mask, id=b.column(0).to_numpy()[which], left=left, right=right, chose=chose, need=need, floor=b.column(2).to_numpy()[which], role=np.full(len(places), BOTH, np.uint8))
+            target = (s.slot >> shift).astype(np.int64)
+            if (spread > 1).any():
+                target, s = _spread(target, s, spread, buckets)
+            held.append((target, s))
             count += len(batch)
             if count >= BLOCK_ROWS:
                 yield sent()
                 held, count = [], 0
-        if held and sum(len(h.slot) for h in held):
+        if held and sum(len(t) for t, _ in held):
             yield sent()
 
     return table.select("id", "letters", "floor").mapInArrow(cut, "bucket int, side int, block binary")
 
 
+def _spread(target: np.ndarray, s: Seeds, spread: np.ndarray, buckets: int) -> tuple[np.ndarray, Seeds]:
+    """Places of spread seeds in further buckets, from number ``buckets`` on."""
+    hot = np.flatnonzero(spread > 1)
+    own = (L.mixed(s.id[hot].astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % spread[hot]
+    asking = hot[s.need[hot] != SKIP]
+    n = spread[asking]
+    all_ = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at, part = np.concatenate([hot, np.repeat(asking, n)]), np.concatenate([own, all_])
+    cold = np.flatnonzero(spread == 1)
+    out = s.take(np.concatenate([cold, at]))
+    out.parts["role"] = np.concatenate([np.full(len(cold), BOTH), np.full(len(hot), KNOWN), np.full(len(all_), ASKING)]).astype(np.uint8)
+    further = (L.mixed(s.slot[at] ^ (part.astype(np.uint64) << np.uint64(40))) >> np.uint64(20)).astype(np.int64) % buckets + buckets
+    return np.concatenate([target[cold], further]), out
+
+
 def _agreeing(w: int) -> tuple[np.ndarray, np.ndarray]:
     """Of an exclusive-or of two left, and of two right flanks: bit o tells that a stretch which begins o letters
     before the seed agrees on that side."""
@@ -221,6 +247,16 @@ def _meetings(keys: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.nda
         step += 1
 
 
+def _runs(upto: np.ndarray, chunk: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose sizes, upto being their running sum, make up about chunk."""
+    lo = 0
+    while lo < len(upto):
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + chunk, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000, many: int = 50) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs of ids proposed by the seeds of one bucket, the number of common stretches there and the floor, in portions;
     each portion holds a pair once, in the order of ids.
@@ -235,25 +271,45 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
     size = np.repeat(size, size)
     by_left, by_right = _agreeing(w)
 
-    def meetings() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        few = order[(size > 1) & (size <= many)]
+    def windows(places: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of places that the stretch beginning ``left`` letters before the seed chose, in the order of its letters."""
+        places = places[s.chose[places] >> np.uint8(left) & 1 > 0]
+        near = (s.left[places] & np.uint16(4**left - 1)).astype(np.uint64) << np.uint64(2 * (w - 1 - left)) | (s.right[places] & np.uint16(4 ** (w - 1 - left) - 1)).astype(np.uint64)
+        keys = s.slot[places] << np.uint64(2 * (w - 1)) | near
+        by = L.order_of(keys)
+        return places[by], keys[by]
+
+    def meetings() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Places of one seed, and, where a stretch brought them together, its number."""
+        both = s.role[order] == BOTH
+        few = order[(size > 1) & (size <= many) & both]
         for x, y in _meetings(s.slot[few], chunk):
-            yield few[x], few[y]
-        shared_by_many = order[size > many]
-        for left in range(w if len(shared_by_many) else 0):  # the stretch begins so many letters before the seed
-            hot = shared_by_many[s.chose[shared_by_many] >> np.uint8(left) & 1 > 0]
-            near = (s.left[hot] & np.uint16(4**left - 1)).astype(np.uint64) << np.uint64(2 * (w - 1 - left)) | (s.right[hot] & np.uint16(4 ** (w - 1 - left) - 1)).astype(np.uint64)
-            keys = s.slot[hot] << np.uint64(2 * (w - 1)) | near
-            by = L.order_of(keys)
-            for x, y in _meetings(keys[by], chunk):
-                yield hot[by[x]], hot[by[y]]
+            yield few[x], few[y], -1
+        crowd, known, asking = order[(size > many) & both], np.flatnonzero(s.role == KNOWN), np.flatnonzero(s.role == ASKING)
+        for left in range(w):
+            if len(crowd):
+                at, keys = windows(crowd, left)
+                for x, y in _meetings(keys, chunk):
+                    yield at[x], at[y], left
+            if len(asking) and len(known):
+                (a, ka), (b, kb) = windows(asking, left), windows(known, left)
+                low = np.searchsorted(kb, ka, "left")
+                n = np.searchsorted(kb, ka, "right") - low
+                upto = np.cumsum(n)
+                for lo, hi in _runs(upto, chunk):
+                    m = n[lo:hi]
+                    x = np.repeat(np.arange(lo, hi), m)
+                    y = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[lo:hi], m)
+                    i, j = a[x], b[y]
+                    asks = s.id[i] < s.id[j] if side is None else side[i] < side[j]
+                    yield i[asks], j[asks], left
 
     found, held = [], 0
 
     def portion() -> tuple[np.ndarray, ...]:
         return added(*(np.concatenate(x) for x in zip(*found)))
 
-    for i, j in meetings():
+    for i, j, stretch in meetings():
         if side is None:
             turned = s.id[i] > s.id[j]
             i, j = np.where(turned, j, i), np.where(turned, i, j)
@@ -263,7 +319,10 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
             i, j = np.where(turned, j, i), np.where(turned, i, j)
             other = side[i] != side[j]
         shared = by_left[s.left[i] ^ s.left[j]] & by_right[s.right[i] ^ s.right[j]] & s.chose[i] & s.chose[j]
-        good = np.flatnonzero(other & (np.bitwise_count(shared) >= s.need[i]))
+        good = other & (np.bitwise_count(shared) >= s.need[i])
+        if stretch >= 0:  # places that have several stretches in common meet several times: only the first counts
+            good &= (shared & (~shared + np.uint8(1))) == np.uint8(1 << stretch)
+        good = np.flatnonzero(good)
         if len(good):
             found.append((s.id[i[good]], s.id[j[good]], np.bitwise_count(shared[good]).astype(np.int64), s.floor[i[good]].astype(np.int64)))
             held += len(good)
@@ -382,8 +441,9 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Rule) ->
             kept = pa.array(good)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(common[good], pa.int32()), pa.array(either[good], pa.int32())], ["a", "b", "common", "either"])
 
-    with_a = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la")), "a")
-    with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb")), "b")
+    # Letters have one row an id, so their partitions are even: hashed, they spare both sides a sort.
+    with_a = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la")).hint("shuffle_hash"), "a")
+    with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb")).hint("shuffle_hash"), "b")
     return with_b.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long, common int, either int")
 
 

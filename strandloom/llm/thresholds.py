@@ -87,22 +87,29 @@ def allocate(sizes: np.ndarray, costs: np.ndarray, budgets: np.ndarray) -> np.nd
     return out
 
 
+#: Places of one seed that go to one bucket, as a power of 2.
+SHARE = 14
+
+
 def weigher(rule: Rule, crowded: int = 6, most: int = 24):
-    """For simjoin.links(): thresholds for the partitions whose cell has over 2 ** crowded seeds, 1 elsewhere.
+    """For simjoin.links(): thresholds for the partitions whose cell has over 2 ** crowded seeds, 1 elsewhere; seeds whose
+    cell has over 2 ** SHARE are spread over so many buckets that each gets about that.
 
     most: no record spends a larger budget than this.
     """
+    share = SHARE
 
     def weigh_by(table: DataFrame, k: int, letters: int) -> Weigh:
         shared = table.sparkSession.sparkContext.broadcast(crowding(table, rule, k))
         budget_of = np.minimum(spending(rule)[0], most)
 
-        def weigh(batch: L.Batch, which: np.ndarray, seeds: np.ndarray, chose: np.ndarray) -> np.ndarray:
+        def weigh(batch: L.Batch, which: np.ndarray, seeds: np.ndarray, chose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             need = np.ones(len(seeds), np.uint8)
             logs = shared.value[cell(seeds)]
+            spread = np.int64(1) << np.maximum(logs.astype(np.int64) - share, 0)
             hot = np.flatnonzero(logs > crowded)
             if not len(hot):
-                return need
+                return need, spread
             rows, row_of = np.unique(which[hot], return_inverse=True)
             nth = np.arange(len(hot)) - np.searchsorted(row_of, row_of)
             terms = np.bincount((L.distinct_terms(batch, rule.term) >> (2 * rule.term)).astype(np.int64), minlength=len(batch))[rows]
@@ -118,7 +125,7 @@ def weigher(rule: Rule, crowded: int = 6, most: int = 24):
                 sizes[r, j], costs[r, j] = size[mine], 2.0 ** logs[hot[mine]]
                 e = allocate(sizes, costs, budgets[group])[r, j]
                 need[hot[mine]] = np.where(e >= size[mine], SKIP, e + 1)
-            return need
+            return need, spread
 
         return weigh
 

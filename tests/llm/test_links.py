@@ -55,6 +55,19 @@ def test_near_pairs_equal_brute_force(data):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 0.5)
 
 
+def test_spread_seeds_and_thresholds_lose_nothing(spark, monkeypatch):
+    from strandloom.llm import thresholds
+
+    monkeypatch.setattr(thresholds, "SHARE", 1)  # every seed of more than two places is spread
+    rng = random.Random(11)
+    rows = family(rng, 40, hub=True)
+    df = spark.createDataFrame([(i * 7 + 1, s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(3)
+    plain = thresholds.weigher
+    monkeypatch.setattr(near, "weigher", lambda rule: plain(rule, crowded=1))
+    got = [(r.a, r.b) for r in near.near_pairs(df, "row_id", "sequence").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.5)
+
+
 def components(pairs):
     root = {}
 
@@ -144,3 +157,22 @@ def test_thresholds_spend_at_most_the_budget():
 
 def test_sure_stretch():
     assert J.sure_stretch(0.5) == 17 and J.sure_stretch(0.3) == 12
+
+
+@pytest.mark.parametrize("threshold", [None, 0.3])
+def test_rounds_on_the_cluster_equal_those_in_one_task(spark, monkeypatch, threshold):
+    from strandloom.llm import linkage
+
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(1, 60), 2))) for _ in range(70)} | {(1, i) for i in range(60, 90)}
+    edges = spark.createDataFrame([(a, b, rng.choice([0.3, 0.4, 0.5, 0.9, rng.random()])) for a, b in sorted(pairs)], "a long, b long, similarity double").persist()
+    weights = spark.createDataFrame([(i, 1 + i % 2) for i in range(1, 95)], "id long, weight long")
+
+    def result():
+        out = linkage.components(edges) if threshold is None else linkage.average_linkage(edges, weights, threshold)
+        return {r.id: r.cluster for r in out.collect()}
+
+    here = result()
+    monkeypatch.setattr(linkage, "LOCAL", 0)
+    assert result() == here
+    assert here == {**{i: i for i in here}, **components(pairs)} if threshold is None else len(set(here.values())) < 94
