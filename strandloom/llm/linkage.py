@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from strandloom.plans.shared import keep
 
-#: Edges that a single task may hold.
-LOCAL = 250_000
+#: Edges that a single task may hold, about 100 MB.
+LOCAL = 1_000_000
 
 
 def _nearest(edges: DataFrame, strength: F.Column) -> DataFrame:

@@ -441,9 +441,10 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Rule) ->
             kept = pa.array(good)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(common[good], pa.int32()), pa.array(either[good], pa.int32())], ["a", "b", "common", "either"])
 
-    # Letters have one row an id, so their partitions are even: hashed, they spare both sides a sort.
+    # The first join hashes the letters, whose partitions are even as they have one row an id; the second sorts by b, so
+    # that pairs of one b come together and its letters are unpacked once.
     with_a = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la")).hint("shuffle_hash"), "a")
-    with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb")).hint("shuffle_hash"), "b")
+    with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb")).hint("merge"), "b")
     return with_b.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long, common int, either int")
 
 

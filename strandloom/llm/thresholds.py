@@ -68,6 +68,7 @@ def allocate(sizes: np.ndarray, costs: np.ndarray, budgets: np.ndarray) -> np.nd
     size 0 fill up the array.
     """
     n, m = sizes.shape
+    budgets = np.minimum(budgets, sizes.sum(axis=1))
     top, most = int(budgets.max(initial=0)), int(sizes.max(initial=0))
     best = np.zeros((n, top + 1), np.float32)
     picks = np.zeros((m, n, top + 1), np.uint8)
@@ -115,16 +116,19 @@ def weigher(rule: Rule, crowded: int = 6, most: int = 24):
             terms = np.bincount((L.distinct_terms(batch, rule.term) >> (2 * rule.term)).astype(np.int64), minlength=len(batch))[rows]
             budgets = budget_of[np.minimum(terms, len(budget_of) - 1)]
             size = np.bitwise_count(chose[hot])
-            for group in np.array_split(np.arange(len(rows)), max(1, len(rows) * (int(nth.max()) + 1) // 200_000)):
-                if not len(group):
-                    continue
-                mine = (row_of >= group[0]) & (row_of <= group[-1])
-                r, j = row_of[mine] - group[0], nth[mine]
-                shape = (len(group), int(j.max()) + 1)
-                sizes, costs = np.zeros(shape, np.int64), np.zeros(shape, np.float32)
-                sizes[r, j], costs[r, j] = size[mine], 2.0 ** logs[hot[mine]]
-                e = allocate(sizes, costs, budgets[group])[r, j]
-                need[hot[mine]] = np.where(e >= size[mine], SKIP, e + 1)
+            each = np.bincount(row_of)
+            width = 1 << np.ceil(np.log2(each)).astype(np.int64)  # records with about as many crowded partitions together
+            for m in np.unique(width).tolist():
+                of_width = np.flatnonzero(width == m)
+                for group in np.array_split(of_width, max(1, len(of_width) * m // 200_000)):
+                    place = np.full(len(rows), -1)
+                    place[group] = np.arange(len(group))
+                    mine = place[row_of] >= 0
+                    r, j = place[row_of[mine]], nth[mine]
+                    sizes, costs = np.zeros((len(group), m), np.int64), np.zeros((len(group), m), np.float32)
+                    sizes[r, j], costs[r, j] = size[mine], 2.0 ** logs[hot[mine]]
+                    e = allocate(sizes, costs, budgets[group])[r, j]
+                    need[hot[mine]] = np.where(e >= size[mine], SKIP, e + 1)
             return need, spread
 
         return weigh
