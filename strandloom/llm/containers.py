@@ -70,14 +70,15 @@ def fill(sizes: DataFrame, limits: DataFrame, open_bins: int = 64, per_shard: in
     """(limit_id, id, part, container, start, length): the container of every item for every limit.
 
     sizes (id, size): null sizes count as 0. limits (limit_id, capacity), few rows; null or non-positive capacities
-    are left out. Container numbers are unique within a limit_id. per_shard: total size that a shard packs, on average.
+    are left out. Container numbers are unique within a limit_id. per_shard: total size that a shard packs, on average,
+    every item counting 16 more, so that many small or empty items are spread too.
     """
     wanted = [(r["limit_id"], r["capacity"]) for r in limits.filter("capacity > 0").orderBy("limit_id").collect()]
     schema = "limit_id int, id long, part int, container long, start long, length long"
     items = sizes.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     if not wanted:
         return items.sparkSession.createDataFrame([], schema)
-    total = items.agg(F.sum("size")).first()[0] or 0
+    total = items.agg(F.sum(F.col("size") + 16)).first()[0] or 0
     shards = max(1, int(total // per_shard))
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
