@@ -94,16 +94,18 @@ def pack(batch: Batch) -> pa.Array:
     np.cumsum(groups + 1, out=offsets[1:])
     out = np.empty(int(offsets[-1]), np.uint8)
     out[offsets[:-1]] = batch.lengths - (groups - 1) * per_row * (groups > 0) + 8 * (per_row == 3)
+    heads = np.zeros(len(out), bool)
+    heads[offsets[:-1]] = True
+    letter = np.ones(len(batch.codes), bool)
+    letter[batch.starts + batch.lengths] = False
     for size, base in ((4, 4), (3, 5)):
-        mine = np.flatnonzero((per_row == size) & (groups > 0))
-        if not len(mine):
+        mine = (per_row == size) & (groups > 0)
+        if not mine.any():
             continue
-        n, g = batch.lengths[mine], groups[mine]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        flat = np.zeros(size * int(g.sum()), np.uint8)
-        flat[inside + np.repeat(size * (np.cumsum(g) - g), n)] = batch.codes[inside + np.repeat(batch.starts[mine], n)]
+        flat, real = _padded(groups[mine], batch.lengths[mine], size)
+        flat[real] = batch.codes[letter & np.repeat(mine, batch.lengths + 1)]
         body = flat.reshape(-1, size) @ (base ** np.arange(size - 1, -1, -1)).astype(np.uint8)
-        out[np.arange(int(g.sum())) - np.repeat(np.cumsum(g) - g, g) + np.repeat(offsets[:-1][mine] + 1, g)] = body
+        out[~heads & np.repeat(mine, groups + 1)] = body
     return pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
@@ -116,19 +118,32 @@ def unpack(column: pa.Array) -> Batch:
     head[sizes > 0] = data[first[sizes > 0]]
     per_row = np.where(head >= 8, 3, 4)
     lengths = np.where(groups > 0, (groups - 1) * per_row + (head & 7), 0)
-    out = _laid(np.zeros(0, np.uint8), np.zeros(len(sizes), np.int64)) if not len(sizes) else _empty(lengths)
+    out = _empty(lengths)
+    heads = np.zeros(len(data), bool)
+    heads[first[sizes > 0]] = True
+    letter = np.ones(len(out.codes), bool)
+    letter[out.starts + out.lengths] = False
+    several = bool((per_row[groups > 0] == 3).any()) and bool((per_row[groups > 0] == 4).any())
     for size, table in ((4, _QUADS), (3, _TRIPLES)):
-        mine = np.flatnonzero((per_row == size) & (groups > 0))
-        if not len(mine):
+        mine = (per_row == size) & (groups > 0)
+        if not mine.any():
             continue
-        g, n = groups[mine], lengths[mine]
-        body = data[np.arange(int(g.sum())) - np.repeat(np.cumsum(g) - g, g) + np.repeat(first[mine] + 1, g)]
-        letters = table[body].reshape(-1)
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out.codes[inside + np.repeat(out.starts[mine], n)] = letters[inside + np.repeat(size * (np.cumsum(g) - g), n)]
+        body = data[~heads & np.repeat(mine, sizes)] if several else data[~heads]
+        _, real = _padded(groups[mine], lengths[mine], size)
+        out.codes[letter & np.repeat(mine, out.lengths + 1) if several else letter] = table[body].reshape(-1)[real]
     return out
 
 
+def _padded(groups: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Room for records in whole groups of letters, and which places hold letters: the last group may be filled up."""
+    flat = np.zeros(size * int(groups.sum()), np.uint8)
+    real = np.ones(len(flat), bool)
+    ends, pad = size * np.cumsum(groups), groups * size - lengths
+    for j in range(size - 1):
+        real[ends[pad > j] - 1 - j] = False
+    return flat, real
+
+
 def _empty(lengths: np.ndarray) -> Batch:
     starts = np.zeros(len(lengths), np.int64)
     np.cumsum(lengths[:-1] + 1, out=starts[1:])
@@ -138,6 +153,8 @@ def _empty(lengths: np.ndarray) -> Batch:
 def rolling(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every place: the k letters from there, two bits each (k up to 32), and whether they hold no N."""
     n = max(0, len(codes) - k + 1)
+    if not n:
+        return np.empty(0, np.uint16 if k <= 8 else np.uint32 if k <= 16 else np.uint64), np.empty(0, bool)
     dtype = np.uint16 if k <= 8 else np.uint32 if k <= 16 else np.uint64
     power = (codes & 3).astype(dtype)
     bad = codes > 3
