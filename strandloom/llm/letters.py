@@ -39,6 +39,11 @@ class Batch:
         """For each place of codes, the number of its record."""
         return np.repeat(np.arange(len(self), dtype=np.int32), self.lengths + 1)
 
+    def broken(self) -> np.ndarray:
+        """Which records hold an N."""
+        marks = np.append(0, np.cumsum(self.codes > 3))
+        return marks[self.starts + self.lengths] > marks[self.starts]
+
     def text(self, row: int) -> str:
         s = self.starts[row]
         return _NAMES[self.codes[s : s + self.lengths[row]]].tobytes().decode()
@@ -87,8 +92,7 @@ def normalise(column: pa.Array) -> Batch:
 def pack(batch: Batch) -> pa.Array:
     """Each record as bytes; equal letters, equal bytes. The first byte is the number of letters in the last group, plus 8 if
     groups are of three letters in base 5 (records with N) and not of four in base 4 (all others)."""
-    marks = np.append(0, np.cumsum(batch.codes > 3))
-    per_row = np.where(marks[batch.starts + batch.lengths] > marks[batch.starts], 3, 4)
+    per_row = np.where(batch.broken(), 3, 4)
     groups = (batch.lengths + per_row - 1) // per_row
     offsets = np.zeros(len(batch) + 1, np.int32)
     np.cumsum(groups + 1, out=offsets[1:])

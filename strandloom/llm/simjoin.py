@@ -105,7 +105,8 @@ def rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """(id, letters, floor) of the records that are compared: those with an id and at least min_terms distinct terms; written,
     a quarter of the texts' size, as it is read several times.
 
-    floor is the number of common stretches that a pair must show from this record's side (see spending()).
+    floor is the number of common stretches that a pair must show from this record's side (see spending()). It is 1 with an N:
+    an N breaks terms of other records that this one doesn't even have, so the bound on breaks doesn't hold.
     """
     term, least, floors = rule.term, rule.min_terms, spending(rule)[1]
 
@@ -114,7 +115,8 @@ def rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
             batch = L.normalise(b.column(1))
             n = np.bincount((L.distinct_terms(batch, term) >> (2 * term)).astype(np.int64), minlength=len(batch))
             fits = pa.array(n >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(fits), L.pack(batch).filter(fits), pa.array(floors[np.minimum(n, len(floors) - 1)], pa.int32()).filter(fits)], ["id", "letters", "floor"])
+            floor = np.where(batch.broken(), 1, floors[np.minimum(n, len(floors) - 1)])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(fits), L.pack(batch).filter(fits), pa.array(floor, pa.int32()).filter(fits)], ["id", "letters", "floor"])
 
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return keep(picked.filter("id is not null and text is not null").mapInArrow(normal, "id long, letters binary, floor int"), "rows")
@@ -261,7 +263,8 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
     """Pairs of ids proposed by the seeds of one bucket, the number of common stretches there and the floor, in portions;
     each portion holds a pair once, in the order of ids.
 
-    Without side, the lower id comes first; with it, that of side 0. Seeds that more than ``many`` places
+    Without side, the lower id comes first; with it, that of side 0. The first of a pair decides what it must have in
+    common; a second whose floor is 1, as of records with N, may ask for less. Seeds that more than ``many`` places
     share are first told apart by the letters around them, so that only places that agree in a whole stretch
     of k + w - 1 letters ever meet.
     """
@@ -300,9 +303,7 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
                     m = n[lo:hi]
                     x = np.repeat(np.arange(lo, hi), m)
                     y = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[lo:hi], m)
-                    i, j = a[x], b[y]
-                    asks = s.id[i] < s.id[j] if side is None else side[i] < side[j]
-                    yield i[asks], j[asks], left
+                    yield a[x], b[y], left
 
     found, held = [], 0
 
@@ -319,12 +320,13 @@ def proposals(s: Seeds, w: int, side: np.ndarray | None, chunk: int = 2_000_000,
             i, j = np.where(turned, j, i), np.where(turned, i, j)
             other = side[i] != side[j]
         shared = by_left[s.left[i] ^ s.left[j]] & by_right[s.right[i] ^ s.right[j]] & s.chose[i] & s.chose[j]
-        good = other & (np.bitwise_count(shared) >= s.need[i])
+        need = np.where(s.floor[j] == 1, np.minimum(s.need[i], s.need[j]), s.need[i])
+        good = other & (np.bitwise_count(shared) >= need)
         if stretch >= 0:  # places that have several stretches in common meet several times: only the first counts
             good &= (shared & (~shared + np.uint8(1))) == np.uint8(1 << stretch)
         good = np.flatnonzero(good)
         if len(good):
-            found.append((s.id[i[good]], s.id[j[good]], np.bitwise_count(shared[good]).astype(np.int64), s.floor[i[good]].astype(np.int64)))
+            found.append((s.id[i[good]], s.id[j[good]], np.bitwise_count(shared[good]).astype(np.int64), np.minimum(s.floor[i[good]], s.floor[j[good]]).astype(np.int64)))
             held += len(good)
         if held >= chunk:
             found = [portion()]

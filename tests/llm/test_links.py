@@ -176,3 +176,19 @@ def test_rounds_on_the_cluster_equal_those_in_one_task(spark, monkeypatch, thres
     monkeypatch.setattr(linkage, "LOCAL", 0)
     assert result() == here
     assert here == {**{i: i for i in here}, **components(pairs)} if threshold is None else len(set(here.values())) < 94
+
+
+def test_records_with_unread_letters_keep_their_pairs(spark):
+    """An N takes terms from its own record only; such pairs show fewer common stretches than the bound for others says."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(40):
+        s = "".join(rng.choice("ACGT") for _ in range(101))
+        t = list(s)
+        for i in (15, 39, 77, 97)[: rng.randint(1, 4)]:
+            t[i] = "N"
+        t[41] = t[59] = rng.choice("ACGT")
+        rows += [s, "".join(t)]
+    df = spark.createDataFrame([(i * 7 + 1, s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(3)
+    got = {(r.a, r.b) for r in near.near_pairs(df, "row_id", "sequence").collect()}
+    assert got == brute(rows, 0.5) and len(got) >= 30
