@@ -102,11 +102,12 @@ def spending(rule: Rule, upto: int = 4096) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
-    """(id, letters, floor) of the records that are compared: those with an id and at least min_terms distinct terms; written,
+    """(id, letters, floor, terms) of the records that are compared: those with an id and at least min_terms distinct terms; written,
     a quarter of the texts' size, as it is read several times.
 
     floor is the number of common stretches that a pair must show from this record's side (see spending()). It is 1 with an N:
-    an N breaks terms of other records that this one doesn't even have, so the bound on breaks doesn't hold.
+    an N breaks terms of other records that this one doesn't even have, so the bound on breaks doesn't hold. terms is the
+    number of its distinct terms.
     """
     term, least, floors = rule.term, rule.min_terms, spending(rule)[1]
 
@@ -116,16 +117,16 @@ def rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
             n = np.bincount((L.distinct_terms(batch, term) >> (2 * term)).astype(np.int64), minlength=len(batch))
             fits = pa.array(n >= least)
             floor = np.where(batch.broken(), 1, floors[np.minimum(n, len(floors) - 1)])
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(fits), L.pack(batch).filter(fits), pa.array(floor, pa.int32()).filter(fits)], ["id", "letters", "floor"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(fits), L.pack(batch).filter(fits), pa.array(floor, pa.int32()).filter(fits), pa.array(n, pa.int32()).filter(fits)], ["id", "letters", "floor", "terms"])
 
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return keep(picked.filter("id is not null and text is not null").mapInArrow(normal, "id long, letters binary, floor int"), "rows")
+    return keep(picked.filter("id is not null and text is not null").mapInArrow(normal, "id long, letters binary, floor int, terms int"), "rows")
 
 
 def classes(table: DataFrame) -> DataFrame:
-    """(id, letters, copies, floor): one row for all rows of equal letters, with their least id; written, not recomputed."""
-    grouped = table.groupBy("letters").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("floor").alias("floor"))
-    return keep(grouped.select("id", "letters", "copies", "floor"), "classes", free=True)
+    """(id, letters, copies, floor, terms): one row for all rows of equal letters, with their least id; written, not recomputed."""
+    grouped = table.groupBy("letters").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("floor").alias("floor"), F.min("terms").alias("terms"))
+    return keep(grouped.select("id", "letters", "copies", "floor", "terms"), "classes", free=True)
 
 
 def size_of(table: DataFrame) -> int:
@@ -392,38 +393,41 @@ def proposed(blocks: DataFrame, rule: Rule, k: int, buckets: int, two_sides: boo
     return keep(seen.groupBy("target").applyInArrow(add, "a long, b long"), "pairs", free=True)
 
 
-def common_terms(left: pa.Array, right: pa.Array, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For packed records side by side: the numbers of common terms, and of either's distinct terms.
-
-    Records that recur on a side are unpacked once. Up to 8 letters, a bit set of all terms holds what the right
-    records have; longer terms are matched in order.
-    """
+def common_terms(left: pa.Array, right: pa.Array, term: int) -> np.ndarray:
+    """For packed records side by side: the number of their common distinct terms."""
     (x, of_x), (y, of_y) = (_distinct(c) for c in (left, right))
-    shift = 2 * term
+    shift = np.uint64(2 * term)
     tx, ty = (L.distinct_terms(L.unpack(c), term).astype(np.uint64) for c in (x, y))
-    rx, ry = ((t >> np.uint64(shift)).astype(np.int64) for t in (tx, ty))
-    nx, ny = np.bincount(rx, minlength=len(x)), np.bincount(ry, minlength=len(y))
-    n = nx[of_x]
-    ends, first = np.cumsum(n), np.cumsum(nx) - nx
-    total = int(ends[-1]) if len(ends) else 0
-    small = np.int32 if max(total, len(tx), len(y) << max(0, shift - 3)) < 1 << 31 else np.int64
-    mine = (tx & np.uint64((1 << shift) - 1)).astype(np.uint16 if shift <= 16 else np.uint64)
-    mine = mine[np.arange(total, dtype=small) + np.repeat((first[of_x] - (ends - n)).astype(small), n)]
-    if 3 <= shift <= 16 and len(y) << shift <= 1 << 31:
-        table = np.zeros(len(y) << (shift - 3), np.uint8)
-        at = (ty >> np.uint64(3)).astype(np.int64)
-        fresh = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
-        if len(at):
-            table[at[fresh]] = np.bitwise_or.reduceat(np.uint8(1) << (ty & np.uint64(7)).astype(np.uint8), fresh)
-        places = np.repeat((of_y << (shift - 3)).astype(small), n)
-        places += mine >> 3
-        found = (table[places] >> (mine & 7).astype(np.uint8)) & np.uint8(1)
-    else:
-        wanted = (np.repeat(of_y, n).astype(np.uint64) << np.uint64(shift)) | mine.astype(np.uint64)
-        place = np.minimum(np.searchsorted(ty, wanted), max(len(ty) - 1, 0))
-        found = (ty[place] == wanted).astype(np.uint8) if len(ty) else np.zeros(len(wanted), np.uint8)
-    upto = np.append(0, np.cumsum(found, dtype=np.int64))
-    return upto[ends] - upto[ends - n], n, ny[of_y]
+    nx = np.bincount((tx >> shift).astype(np.int64), minlength=len(x))
+    n, first = nx[of_x], np.cumsum(nx) - nx
+    ends = np.cumsum(n)
+    mine = tx[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[of_x] - (ends - n), n)] & ((np.uint64(1) << shift) - np.uint64(1))
+    wanted = (np.repeat(of_y, n).astype(np.uint64) << shift) | mine
+    place = np.minimum(np.searchsorted(ty, wanted), max(len(ty) - 1, 0))
+    upto = np.append(0, np.cumsum(ty[place] == wanted)) if len(ty) else np.zeros(len(wanted) + 1, np.int64)
+    return upto[ends] - upto[ends - n]
+
+
+def at_most_common(left: pa.Array, right: pa.Array, term: int) -> np.ndarray:
+    """As common_terms(), but terms that the left record repeats count each time: never too few, and without sorting the
+    left records. A bit set over all terms, for terms of up to 8 letters, holds what each right record has."""
+    y, of_y = _distinct(right)
+    ty = L.distinct_terms(L.unpack(y), term).astype(np.int64)
+    table = np.zeros(max(1, len(y) << 2 * term >> 3), np.uint8)
+    if len(ty):
+        at = ty >> 3
+        fresh = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        table[at[fresh]] = np.bitwise_or.reduceat(np.uint8(1) << (ty & 7).astype(np.uint8), fresh)
+    x = L.unpack(left)
+    value, good = L.rolling(x.codes, term)
+    small = np.int32 if len(table) < 1 << 31 else np.int64
+    places = np.repeat((of_y << 2 * term >> 3).astype(small), x.lengths + 1)[: len(value)]
+    places += value >> 3
+    found = (table[places] >> (value & 7).astype(np.uint8)) & good
+    upto = np.zeros(len(x.codes) + 1, np.int64)
+    np.cumsum(found, out=upto[1 : len(found) + 1])
+    upto[len(found) + 1 :] = upto[len(found)]
+    return upto[x.starts + x.lengths] - upto[x.starts]
 
 
 def _distinct(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -435,19 +439,27 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, rule: Rule) ->
     """(a, b, common, either) of the proposed pairs that reach the threshold, each once."""
     term, t = rule.term, rule.threshold
 
+    def enough(common: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return common >= t * (m + n - common) - 1e-9
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            common, m, n = common_terms(b.column(2), b.column(3), term)
-            either = m + n - common
-            good = common >= t * either - 1e-9
+            if not b.num_rows:
+                continue
+            if term <= 8:
+                m, n = (b.column(c).to_numpy().astype(np.int64) for c in (3, 5))
+                b = b.filter(pa.array(enough(at_most_common(b.column(2), b.column(4), term), m, n)))
+            m, n = (b.column(c).to_numpy().astype(np.int64) for c in (3, 5))
+            common = common_terms(b.column(2), b.column(4), term)
+            good = enough(common, m, n)
             kept = pa.array(good)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(common[good], pa.int32()), pa.array(either[good], pa.int32())], ["a", "b", "common", "either"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(kept), b.column(1).filter(kept), pa.array(common[good], pa.int32()), pa.array((m + n - common)[good], pa.int32())], ["a", "b", "common", "either"])
 
     # The first join hashes the letters, whose partitions are even as they have one row an id; the second sorts by b, so
     # that pairs of one b come together and its letters are unpacked once.
-    with_a = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la")).hint("shuffle_hash"), "a")
-    with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb")).hint("merge"), "b")
-    return with_b.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long, common int, either int")
+    with_a = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la"), F.col("terms").alias("ta")).hint("shuffle_hash"), "a")
+    with_b = with_a.join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb"), F.col("terms").alias("tb")).hint("merge"), "b")
+    return with_b.select("a", "b", "la", "ta", "lb", "tb").mapInArrow(check, "a long, b long, common int, either int")
 
 
 def links(table: DataFrame, rule: Rule, weigh_by: Callable[[DataFrame, int, int], Weigh] | None = None) -> DataFrame:
