@@ -50,7 +50,8 @@ def kmers(seq: Column, k: int, circular: bool = False) -> Column:
     """Array of the k-mers at positions 0, 1, ...; empty for an empty sequence, null for null."""
     whole = padded(seq, k, circular)
     n = F.length(seq)
-    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(whole, i, F.lit(k)))
+    # The padded sequence is an element of an array of one, so that it is made once and not at every position.
+    some = F.transform(F.array(whole), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(w, i, F.lit(k))))[0]
     return F.when(n > 0, some).when(n == 0, F.array().cast("array<string>"))
 
 
