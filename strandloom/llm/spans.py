@@ -10,8 +10,9 @@ length - k + 1 in the window. Where the window stands again, so does the anchor,
 2. The anchors that are left travel with the letters around them to a bucket of their hash, where all windows around
    an anchor are grouped exactly, letter by letter.
 
-Anchors that very many records share are spread over several groups. A window that such a group holds once goes on,
-one entry for each group, to a last exact grouping by window; so no task ever gets all places of a frequent anchor.
+Anchors that very many records share are spread over several groups. The windows of such a group go on to a last exact
+grouping by window: one entry where several records of the group share it, every place where one record alone holds it;
+so no task ever gets all places of a frequent anchor.
 """
 
 from __future__ import annotations
@@ -103,6 +104,7 @@ class Sketch:
 
     def __init__(self, log_cells: int, repeated: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray) -> None:
         self.log_cells, self.repeated, self.hot, self.hot_counts = log_cells, repeated, hot, hot_counts
+        self.group = GROUP  # travels with the sketch, so that tasks use the driver's value
 
     def over_one(self, seeds: np.ndarray) -> np.ndarray:
         out = np.ones(len(seeds), bool)
@@ -117,7 +119,7 @@ class Sketch:
             at = np.searchsorted(self.hot, c)
             found = (at < len(self.hot)) & (np.append(self.hot, -1)[at] == c)
             least = np.minimum(least, np.where(found, np.append(self.hot_counts, 0)[at], 0))
-        return 1 + least // GROUP
+        return 1 + least // self.group
 
 
 def sketch(texts: DataFrame, length: int, letters: int) -> Sketch:
@@ -181,7 +183,8 @@ def _window_keys(group: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iter
 
 def shared_windows(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each anchor place two bit sets over o, the letters of a window left of the anchor: windows that another record
-    of its group has too, and windows that a place without such a partner holds first in the group."""
+    of its group has too, and windows to compare with other groups: every place of a window that one record alone holds
+    here, as all are marked if another group has it, and the first place of one that is marked here already."""
     f = left.shape[1]
     shared, alone = np.zeros(len(group), np.uint64), np.zeros(len(group), np.uint64)
     to_left, to_right = _good(left), _good(right)
@@ -196,7 +199,9 @@ def shared_windows(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right:
         other = rows[which] != np.repeat(rows[which[starts]], sizes)
         both = np.logical_or.reduceat(other, starts)
         shared[which[np.repeat(both, sizes)]] |= np.uint64(1 << o)
-        alone[which[starts]] |= np.uint64(1 << o)  # one entry a window and group, whether shared there or not
+        passed = np.repeat(~both, sizes)
+        passed[starts] = True
+        alone[which[passed]] |= np.uint64(1 << o)
     return shared, alone
 
 
@@ -279,7 +284,7 @@ def marks(df: DataFrame, id_col: str, text_col: str, length: int = 40) -> DataFr
     first = picked.mapInArrow(cut, "bucket int, block binary").groupBy("bucket").applyInArrow(group, "id long, place long, windows long, around string")
     if not len(known.value.hot):
         return first.select("id", "place", "windows")
-    # Of anchors spread over groups: one entry a group and window, exactly grouped by the window's letters.
+    # Of anchors spread over groups: entries of each group and window, exactly grouped by the window's letters.
     o = F.explode(F.filter(F.sequence(F.lit(0), F.lit(f)), lambda i: F.getbit(F.col("windows"), i) > 0)).alias("o")
     entries = first.filter("around is not null").select("id", "place", "around", o)
     entries = entries.select("id", "place", "o", F.substr("around", F.lit(f + 1) - F.col("o"), F.lit(length)).alias("window"))

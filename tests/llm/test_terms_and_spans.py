@@ -90,6 +90,23 @@ def test_spans_with_very_frequent_anchors(spark, rows, monkeypatch):
     assert {tuple(r) for r in spans.spans(df, "row_id", "sequence").collect()} == brute_spans(rows)
 
 
+def test_repeated_windows_of_very_frequent_anchors(spark, monkeypatch):
+    """A window that one record of a group holds at several places is marked at all of them."""
+    monkeypatch.setattr(spans, "GROUP", 3)
+    rng = random.Random(17)
+
+    def some(n):
+        return "".join(rng.choice("ACGT") for _ in range(n))
+
+    anchor = min((some(24) for _ in range(500)), key=lambda a: int(L.mixed(L.rolling(L.normalise(pa.array([a])).codes, 24)[0][:1])[0]))
+    rows = [some(20) + anchor + some(20) for _ in range(60)]
+    for _ in range(8):
+        window = some(8) + anchor + some(8)
+        rows += [some(30) + window + some(30) + window + some(30) for _ in range(2)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "row_id int, sequence string").repartition(4)
+    assert {tuple(r) for r in spans.spans(df, "row_id", "sequence").collect()} == brute_spans(rows)
+
+
 def test_shares_and_empty(spark, rows):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "row_id int, sequence string")
     got = {r.id: (r.letters, r.shared) for r in spans.shares(df, "row_id", "sequence").collect()}
