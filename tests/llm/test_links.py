@@ -100,6 +100,22 @@ def test_clusters_are_chains_of_similar_rows(data):
     assert got == {i: c for i, c in want.items() if sizes[c] >= 3}
 
 
+def test_links_of_short_stretches_are_found(spark):
+    """Six evenly spaced substitutions in 101 letters: similarity 0.324, and no common stretch of 15 letters."""
+    rng = random.Random(31)
+    rows = []
+    for _ in range(30):
+        s = "".join(rng.choice("ACGT") for _ in range(101))
+        t = list(s)
+        for i in range(14, 101, 14)[:6]:
+            t[i] = rng.choice([c for c in "ACGT" if c != s[i]])
+        rows += [s, "".join(t)]
+    df = spark.createDataFrame([(i * 7 + 1, s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(3)
+    want = components(brute(rows, 0.3))
+    assert len(want) >= 50
+    assert {r.id: r.cluster for r in clusters.cluster_rows(df, "row_id", "sequence", least=2).collect()} == want
+
+
 def test_average_linkage_profile(spark, data):
     rows, df = data
     got = clusters.cluster_profile(df, "row_id", "sequence").collect()
