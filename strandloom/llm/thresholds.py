@@ -115,8 +115,7 @@ def weigher(rule: Rule, crowded: int = 6, most: int = 24):
             nth = np.arange(len(hot)) - np.searchsorted(row_of, row_of)
             terms = np.bincount((L.distinct_terms(batch, rule.term) >> (2 * rule.term)).astype(np.int64), minlength=len(batch))[rows]
             budgets = budget_of[np.minimum(terms, len(budget_of) - 1)]
-            if rule.gap <= rule.term:  # what an N breaks is not bounded (simjoin.rows): no thresholds where nothing may be lost
-                budgets = np.where(batch.broken()[rows], 0, budgets)
+            budgets = np.where(batch.broken()[rows], 0, budgets)  # what an N breaks is not bounded (simjoin.rows)
             size = np.bitwise_count(chose[hot])
             each = np.bincount(row_of)
             width = 1 << np.ceil(np.log2(each)).astype(np.int64)  # records with about as many crowded partitions together

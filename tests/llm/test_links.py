@@ -116,6 +116,24 @@ def test_links_of_short_stretches_are_found(spark):
     assert {r.id: r.cluster for r in clusters.cluster_rows(df, "row_id", "sequence", least=2).collect()} == want
 
 
+def test_records_with_unread_letters_get_no_thresholds(spark):
+    """Whatever the rule takes breaks to cost."""
+    import numpy as np
+
+    from strandloom.llm import letters as L
+    from strandloom.llm.thresholds import weigher
+
+    rng = random.Random(41)
+    s = "".join(rng.choice("ACGT") for _ in range(101))
+    rule = J.Rule(0.3, stretch=15, gap=12, hidden=0.75)
+    table = J.rows(spark.createDataFrame([(1, s), (2, s[:50] + "N" + s[51:])], "id long, sequence string"), "id", "sequence", rule)
+    batch = L.unpack(table.orderBy("id").toArrow().column("letters").combine_chunks())
+    places, seeds, chose = L.sampled(batch.codes, 11, 5, rule.term, rule.distinct)
+    which = batch.rows()[places]
+    need, _ = weigher(rule, crowded=0)(table, 11, 200)(batch, which, seeds, chose)
+    assert (need[which == 0] > 1).any() and np.all(need[which == 1] == 1)
+
+
 def test_average_linkage_profile(spark, data):
     rows, df = data
     got = clusters.cluster_profile(df, "row_id", "sequence").collect()
