@@ -112,9 +112,15 @@ def kmer_counts(spark, sf_dir):
 
 
 def _distinct(spark, sf_dir, k):
+    """Distinct k-mers of the rows without N, as in the SQL."""
     return kmers.counts(sequences(spark, sf_dir).filter("not contains(seq, 'N')"), k)
 
 
+def _distinct_of_all(spark, sf_dir, k):
+    """Distinct k-mers without N of all rows."""
+    return kmers.counts(sequences(spark, sf_dir), k).filter("not contains(kmer, 'N')")
+
+
 def kmer_onehot(spark, sf_dir):
     return _distinct(spark, sf_dir, K_SHORT).select("kmer", F.array_join(S.one_hot(F.col("kmer")).cast("array<string>"), "").alias("onehot"))
 
@@ -189,12 +195,12 @@ def nystrom_error(spark, sf_dir):
 
 
 def greedy_anchors(spark, sf_dir):
-    distinct = _distinct(spark, sf_dir, 6).persist()
+    distinct = _distinct_of_all(spark, sf_dir, 6).persist()
     return spark.createDataFrame(nystrom.greedy_anchors(distinct, 8, SIGMA), "step int, kmer string, residual double")
 
 
 def spectral_cluster(spark, sf_dir):
-    names = _anchors(spark, sf_dir, 200)
+    names = sorted(r[0] for r in kmers.anchors(_distinct_of_all(spark, sf_dir, K_LONG), 200).collect())
     from strandloom.operators import cluster
 
     at, means = cluster.spectral(nystrom.one_hot(names), 4, SIGMA, K_LONG)
@@ -202,7 +208,7 @@ def spectral_cluster(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir):
-    """Mean k-mer profile of each dataset and label, Z as it is and k-mers with N left out."""
+    """Mean k-mer profile of each dataset and label over the rows without N, Z as it is."""
     clean = sequences(spark, sf_dir).filter("not contains(seq, 'N') and label is not null and dataset is not null")
     return nystrom.mean_profile(clean.select("dataset", "label", "seq"), K_SHORT, "seq", ["dataset", "label"])
 
@@ -212,7 +218,7 @@ def _h(a: str, b: str, k: int):
 
 
 def conv_gram(spark, sf_dir):
-    """Mean convolutional kernel between the classes of all datasets, over all rows, by their k-mer profiles. The join
+    """Mean convolutional kernel between the classes of all datasets, over all rows without N, by their k-mer profiles. The join
     is over the at most 5^k distinct k-mers of the parameter k, never over rows."""
     p = _profiles(spark, sf_dir)
     q = p.select(F.col("dataset").alias("dataset_b"), F.col("label").alias("label_b"), F.col("kmer").alias("q"), F.col("w").alias("v"))
@@ -223,7 +229,7 @@ def conv_gram(spark, sf_dir):
 
 
 def conv_similarity(spark, sf_dir):
-    """Mean convolutional kernel of every evaluation row with each class of its dataset."""
+    """Mean convolutional kernel of every evaluation row without N with each class of its dataset, over its rows without N."""
     p = _profiles(spark, sf_dir)
     tests = sequences(spark, sf_dir, "test_df").filter("seq <> '' and not contains(seq, 'N') and dataset is not null")
     each = kmers.explode(tests.select("row_id", "dataset", F.length("seq").alias("m"), "seq"), K_SHORT)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.functions import vector as V
 from strandloom.operators import kmers, profile
+from strandloom.plans import sequence_queries
 
 
 def value(spark, expression, **columns):
@@ -60,3 +61,14 @@ def test_vectors(spark):
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(1.0), F.lit(0.0))
     got = spark.range(1).select(V.dot(a, b), V.norm(a), V.distance1(a, b), V.distance2(a, b), V.normalised(a), *[V.to_class(F.lit(v)) for v in (2.0, -1.0, 0.0)]).first()
     assert tuple(got) == (3.0, 5.0, 6.0, 20.0, [0.6, 0.8], 1.0, 0.0, 0.5)
+
+
+def test_anchors_keep_clean_kmers_of_rows_with_n(spark, tmp_path):
+    rows = [(1, 0, 1, "ACGTACGTTGCANGGCATTACA"), (2, 0, 0, "ACGTACG")]
+    spark.createDataFrame(rows, "row_id long, dataset int, label int, sequence string").write.parquet(str(tmp_path / "train_df.parquet"))
+    got = {r.kmer for r in sequence_queries._distinct_of_all(spark, str(tmp_path), 6).collect()}
+    assert {"TTGCAN", "CANGGC"}.isdisjoint(got) and {"GTTGCA", "GGCATT", "ACGTAC"} <= got
+    chosen = [r.kmer for r in sequence_queries.greedy_anchors(spark, str(tmp_path)).collect()]
+    assert len(chosen) == 8 and set(chosen) <= got
+    clustered = {r.kmer for r in sequence_queries.spectral_cluster(spark, str(tmp_path)).collect()}
+    assert "ACGTACGTT" in clustered and not any("N" in k for k in clustered)
