@@ -62,6 +62,11 @@ def test_pipeline_and_cli(spark, folder, tmp_path):
     assert anchors.count() == 3
 
 
+def test_pipeline_numbers_rows_by_counted_test_rows(spark, folder, tmp_path):
+    vote = pipeline.run(spark, str(folder), str(tmp_path / "out"), (0, 1), anchors=20)
+    assert sorted(r.Id for r in vote.collect()) == list(range(20))
+
+
 def test_streamed_scores_equal_batch(spark, tmp_path):
     df = spark.createDataFrame([(0, i, [float(i), 1.0], i % 2) for i in range(8)], "dataset int, id long, x array<double>, y int")
     df.write.parquet(str(tmp_path / "in"))
