@@ -226,3 +226,18 @@ def test_records_with_unread_letters_keep_their_pairs(spark):
     df = spark.createDataFrame([(i * 7 + 1, s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(3)
     got = {(r.a, r.b) for r in near.near_pairs(df, "row_id", "sequence").collect()}
     assert got == brute(rows, 0.5) and len(got) >= 30
+
+
+def test_long_records_with_regular_unread_letters_keep_their_pairs(spark):
+    """202 letters and the same with 12 evenly spaced N: similarity 0.508, and no common stretch of 16 letters."""
+    rng = random.Random(51)
+    rows = []
+    for _ in range(15):
+        s = "".join(rng.choice("ACGT") for _ in range(202))
+        t = list(s)
+        for i in range(1, 13):
+            t[i * 203 // 13 - 1] = "N"
+        rows += [s, "".join(t)]
+    df = spark.createDataFrame([(i * 7 + 1, s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(3)
+    got = {(r.a, r.b) for r in near.near_pairs(df, "row_id", "sequence").collect()}
+    assert got == brute(rows, 0.5) and len(got) >= 15
