@@ -241,3 +241,40 @@ def test_long_records_with_regular_unread_letters_keep_their_pairs(spark):
     df = spark.createDataFrame([(i * 7 + 1, s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(3)
     got = {(r.a, r.b) for r in near.near_pairs(df, "row_id", "sequence").collect()}
     assert got == brute(rows, 0.5) and len(got) >= 15
+
+
+@pytest.mark.parametrize("hot", [128, 6, 2])
+def test_counted_windows_propose_every_similar_pair(spark, hot):
+    """Also where most windows are hot: by their counts in one task, over tasks, and by hot windows alone."""
+    from strandloom.llm import windows
+
+    rng = random.Random(61)
+    motif = "".join(rng.choice("ACGT") for _ in range(16))
+    rows = [s and s[:20] + motif + s[36:] if s and rng.random() < 0.3 else s for s in family(rng, 40, hub=True)]
+    for _ in range(15):  # evenly broken ones, blocks moved, unread letters
+        s = "".join(rng.choice("ACGT") for _ in range(101))
+        t = list(s)
+        for i in range(14, 101, 14)[:6]:
+            t[i] = rng.choice([c for c in "ACGT" if c != s[i]])
+        u = list(s)
+        for i in rng.sample(range(101), rng.randint(1, 4)):
+            u[i] = "N"
+        cut = rng.randint(20, 60)
+        rows += [s, "".join(t), "".join(u), s[cut : cut + 30] + s[:cut] + s[cut + 30 :], s[:40] + "N" * 12 + s[52:]]
+    df = spark.createDataFrame([(i * 7 + 1, s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(3)
+    groups = clusters.J.classes(clusters.J.rows(df, "row_id", "sequence", clusters.RULE))
+    pairs = [(r.a, r.b) for r in windows.links(groups, clusters.RULE, windows.Windows(hot=hot, member_block=16)).collect()]
+    classes = {r.id for r in groups.collect()}
+    want = {(a, b) for a, b in brute(rows, 0.3) if a in classes and b in classes}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_windows_of_very_large_ids(spark):
+    """Ids that don't fit beside the windows in one number."""
+    rng = random.Random(71)
+    rows = [s for s in family(rng, 15) if s]
+    small = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(2)
+    large = spark.createDataFrame([(i * (1 << 52) - (1 << 61), s) for i, s in enumerate(rows)], "row_id long, sequence string").repartition(2)
+    a = {(r.id, r.cluster) for r in clusters.cluster_rows(small, "row_id", "sequence").collect()}
+    b = {((r.id + (1 << 61)) >> 52, (r.cluster + (1 << 61)) >> 52) for r in clusters.cluster_rows(large, "row_id", "sequence").collect()}
+    assert a and a == b
