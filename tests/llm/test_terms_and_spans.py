@@ -44,6 +44,32 @@ def test_counts_equal_brute_force(spark, rows):
         assert spelled == {key: (want_all[key], want_rows[key]) for key in want_all}
 
 
+def test_suffix_array_is_in_order_with_its_common_prefixes():
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("ACGTN" if rng.random() < 0.1 else "AC") for _ in range(rng.randint(0, 120))) for _ in range(25)] + ["A" * 90, "AC" * 40]
+    batch = L.normalise(pa.array(texts))
+    for longest in (1, 3, 8, 16, 17, 33, 40, 70):
+        s = frequency.suffix_array(batch, longest)
+        letters = "".join("ACGT~"[c] for c in batch.codes)
+        each = [letters[p:].split("~")[0][:longest] for p in s.places]
+        assert each == sorted(each) and len(each) == letters.replace("~", "").__len__()
+        assert [len(e) for e in each] == s.usable.tolist()
+        common = [0] + [next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y))) for x, y in zip(each, each[1:])]
+        assert common == s.common.tolist()
+
+
+def test_long_terms_equal_brute_force(spark, rows):
+    df = spark.createDataFrame([(s,) for s in rows], "text string").repartition(2)
+    got = {(r.n, r.term): (r.occurrences, r.records) for r in frequency.term_counts(df, "text", (8, 40, 55)).collect()}
+    want = {}
+    for s in map(plain, rows):
+        for n in (8, 40, 55):
+            for t, c in Counter(s[i : i + n] for i in range(len(s) - n + 1) if "N" not in s[i : i + n]).items():
+                o, r = want.get((n, t), (0, 0))
+                want[n, t] = (o + c, r + 1)
+    assert got == want
+
+
 def test_marks(spark):
     texts = ["ACGTACGT"] * 3 + ["CCCCCCCC"] * 98 + ["GGGGGGGG", None, "", "NNNNNNNNN"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -118,6 +144,6 @@ def test_shares_and_empty(spark, rows):
 
 
 def test_suffix_intervals_of_one_text():
-    head, usable, rows = frequency.suffixes(L.normalise(pa.array(["ACACAC"])), 3)
-    common = frequency.common_prefixes(head, 3)
-    assert [frequency.intervals(head, usable, rows, n, 3, common)[1].tolist() for n in (1, 2, 3)] == [[3, 3], [3, 2], [2, 2]]
+    found = frequency.suffix_array(L.normalise(pa.array(["ACACAC"])), 3)
+    assert [frequency.intervals(found, n)[1].tolist() for n in (1, 2, 3)] == [[3, 3], [3, 2], [2, 2]]
+    assert [frequency.intervals(found, n)[2].tolist() for n in (1, 2, 3)] == [[1, 1], [1, 1], [1, 1]]
