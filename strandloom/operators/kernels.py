@@ -109,7 +109,65 @@ class KmerDistance(Kernel):
         return n * np.exp(-np.divide(squared_distances(a, b), 2 * n * self.sigma**2, out=np.zeros_like(n), where=n > 0))
 
 
-REGISTRY = {"Linear": Linear, "Gaussian": Gaussian, "Polynomial": Polynomial, "Laplace": Laplace, "KmerCosine": KmerCosine, "KmerDistance": KmerDistance}
+@dataclass(frozen=True)
+class Conv(Kernel):
+    """Convolutional kernel of whole sequences: the mean over all places of both of k exp((h / k - 1) / sigma^2), h the
+    aligned equal letters of two windows of k letters centred there. Rows are letter_codes(); empty sequences give 0.
+
+    Work is by blocks: one product gives the h of all windows of a row with those of a block, and a table of k + 1 values the rest.
+    """
+
+    sigma: float
+    k: int
+
+    def windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(one-hot windows of all rows below each other, windows of each row); letters other than A, C, G, T are zeros."""
+        codes = np.asarray(codes).astype(np.int8)
+        lengths = (codes >= 0).sum(1)
+        left, right = (self.k + 1) // 2 - 1, (self.k + 2) // 2 - 1
+        flat = np.zeros((len(codes), codes.shape[1] + left + right, 4), np.float32)
+        flat[:, left : left + codes.shape[1]] = np.eye(5, dtype=np.float32)[:, 1:][np.maximum(codes, 0)]
+        each = np.lib.stride_tricks.sliding_window_view(flat.reshape(len(codes), -1), 4 * self.k, axis=1)[:, ::4]
+        return each[np.arange(each.shape[1])[None, :] < lengths[:, None]], lengths
+
+    def table(self) -> np.ndarray:
+        return self.k * np.exp((np.arange(self.k + 1) / self.k - 1) / self.sigma**2)
+
+    def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)))
+        if not len(a) or not len(b):
+            return out
+        (x, nx), (y, ny) = self.windows(a), self.windows(b)
+        table, some, first = self.table(), np.flatnonzero(ny), np.append(0, np.cumsum(nx))
+        starts = (np.cumsum(ny) - ny)[some]
+        for i in np.flatnonzero(nx):
+            values = table[(x[first[i] : first[i + 1]] @ y.T + 0.5).astype(np.uint8)]
+            out[i, some] = np.add.reduceat(values.sum(0), starts) / (nx[i] * ny[some])
+        return out
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, chunk: int = 128) -> np.ndarray:
+        """The kernel of each row of a with the row of b beside it."""
+        out, table = np.zeros(len(a)), self.table()
+        for lo in range(0, len(a), chunk):
+            (x, nx), (y, ny) = self.windows(a[lo : lo + chunk]), self.windows(b[lo : lo + chunk])
+            both = []
+            for flat, n in ((x, nx), (y, ny)):
+                wide = np.zeros((len(n), max(1, int(n.max(initial=0))), 4 * self.k), np.float32)
+                wide[np.arange(wide.shape[1])[None, :] < n[:, None]] = flat
+                both.append(wide)
+            values = table[(both[0] @ both[1].transpose(0, 2, 1) + 0.5).astype(np.uint8)]
+            inside = (np.arange(values.shape[1])[None, :] < nx[:, None])[:, :, None] & (np.arange(values.shape[2])[None, :] < ny[:, None])[:, None, :]
+            out[lo : lo + chunk] = (values * inside).sum((1, 2)) / np.maximum(nx * ny, 1)
+        return out
+
+
+def letter_codes(seq: Column, width: int) -> Column:
+    """A sequence as numbers for Conv: 1 to 4 for A, C, G, T, 0 for other letters, -1 behind the end up to ``width``."""
+    letters = F.split(F.rpad(F.coalesce(seq, F.lit("")), F.lit(width), F.lit(" ")), "")
+    return F.transform(letters, lambda c: F.when(c == " ", -1.0).otherwise(F.coalesce(F.array_position(F.array(*[F.lit(x) for x in "ACGT"]), c), F.lit(0)).cast("double")))
+
+
+REGISTRY = {"Linear": Linear, "Gaussian": Gaussian, "Polynomial": Polynomial, "Laplace": Laplace, "KmerCosine": KmerCosine, "KmerDistance": KmerDistance, "Conv": Conv}
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

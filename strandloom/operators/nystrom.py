@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import kernels as K
+from strandloom.plans.shared import keep
+
+#: Steps of greedy selection after which the state of all k-mers is written.
+EVERY = 16
 
 _CODES = np.zeros((256, 4))
 for _i, _c in enumerate("ACGT"):
@@ -70,19 +74,35 @@ def embed(df: DataFrame, seq: str, anchors: list[str], sigma: float, beta: float
     unit = z / np.maximum(nz, 1e-12)[:, None]
     shared = df.sparkSession.sparkContext.broadcast((unit, nz, matrix))  # p * 4k and p * p numbers, by the parameter p
 
+    def means(texts: list[str]) -> np.ndarray:
+        """Of each text, none empty, the mean over its places of the kernel with the anchors: one product for all of them."""
+        unit, nz, _ = shared.value
+        sizes = np.array([len(t) for t in texts])
+        left, right = (k + 1) // 2 - 1, (k + 2) // 2 - 1
+        flat = _CODES[np.frombuffer("".join(" " * left + t + " " * right for t in texts).encode("latin-1", "replace"), np.uint8)]
+        first = np.cumsum(sizes + left + right) - (sizes + left + right)
+        upto = np.cumsum(sizes)
+        places = np.arange(upto[-1]) + np.repeat(first - (upto - sizes), sizes)
+        w = np.lib.stride_tricks.sliding_window_view(flat.reshape(-1), 4 * k)[::4][places]
+        n = np.sqrt(w.sum(1))
+        cosine = (w @ unit.T) / np.where(n > 0, n, 1)[:, None]
+        e = np.exp((cosine - 1) / sigma**2)
+        e = np.sqrt(k) * e if compat else n[:, None] * nz * e
+        return np.add.reduceat(e, upto - sizes) / sizes[:, None]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nz, matrix = shared.value
+        matrix = shared.value[2]
         for b in batches:
-            rows = []
-            for s in b.column(seq).to_pylist():
-                if not s:
-                    rows.append(None)
-                    continue
-                w = windows(s, k)
-                n = np.linalg.norm(w, axis=1)
-                cosine = np.divide(w @ unit.T, n[:, None], out=np.zeros((len(w), len(unit))), where=n[:, None] > 0)
-                e = np.exp((cosine - 1) / sigma**2)
-                rows.append((matrix @ ((np.sqrt(k) * e).mean(0) if compat else (n[:, None] * nz * e).mean(0))).tolist())
+            texts = b.column(seq).to_pylist()
+            some = [i for i, t in enumerate(texts) if t]
+            upto = np.cumsum([len(texts[i]) for i in some])
+            rows: list[list[float] | None] = [None] * len(texts)
+            lo = 0
+            while lo < len(some):  # about 4 million numbers at a time
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 4_000_000 // len(matrix), "right")))
+                for i, x in zip(some[lo:hi], (means([texts[i] for i in some[lo:hi]]) @ matrix.T).tolist()):
+                    rows[i] = x
+                lo = hi
             keep = [i for i, c in enumerate(b.schema.names) if c != seq]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(rows, pa.list_(pa.float64()))], [*[b.schema.names[i] for i in keep], "x"])
 
@@ -98,19 +118,22 @@ def conv(x: str, y: str, k: int, sigma: float) -> float:
     return float(table[np.rint(h).astype(int)].mean())
 
 
-def conv_entries(left: DataFrame, right: DataFrame | None, k: int, sigma: float, by: str = "dataset", most: int = 20_000) -> DataFrame:
-    """(by, i, j, k): convolutional kernel of all pairs of rows (by, id, seq) in a group; i <= j without right."""
-    class _Conv(K.Kernel):
-        def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            xs, ys = (["".join(map(chr, r[r > 0].astype(int))) for r in m] for m in (a, b))
-            return np.array([[conv(x, y, k, sigma) for y in ys] for x in xs])
+def conv_rows(df: DataFrame, width: int, by: str = "dataset") -> DataFrame:
+    """(by, id, x, other columns) for the kernel kernels.Conv, which serves wherever a kernel of rows does."""
+    rest = [c for c in df.columns if c not in (by, "id", "seq")]
+    return df.filter(F.length("seq") > 0).select(by, "id", K.letter_codes(F.col("seq"), width).alias("x"), *rest)
+
 
-    def coded(df: DataFrame) -> DataFrame:
-        longest = df.agg(F.max(F.length("seq"))).first()[0] or 1
-        codes = F.transform(F.split(F.rpad("seq", F.lit(longest), F.lit(" ")), ""), lambda c: F.when(c == " ", 0.0).otherwise(F.ascii(c).cast("double")))
-        return df.filter(F.length("seq") > 0).select(by, "id", codes.alias("x"))
+def longest(*tables: DataFrame) -> int:
+    """Letters of the longest sequence of all tables, at least 1."""
+    return max(1, *[t.agg(F.max(F.length("seq"))).first()[0] or 1 for t in tables])
 
-    return K.entries(coded(left), coded(right) if right is not None else None, _Conv(), by, most)
+
+def conv_entries(left: DataFrame, right: DataFrame | None, k: int, sigma: float, by: str = "dataset", most: int = 20_000) -> DataFrame:
+    """(by, i, j, k): convolutional kernel of all pairs of rows (by, id, seq) in a group; i <= j without right."""
+    width = longest(left, *([right] if right is not None else []))
+    sides = [conv_rows(df.select(by, "id", "seq"), width, by) if df is not None else None for df in (left, right)]
+    return K.entries(sides[0], sides[1], K.Conv(sigma, k), by, most)
 
 
 def mean_profile(df: DataFrame, k: int, seq: str, by: list[str]) -> DataFrame:
@@ -140,32 +163,62 @@ def residuals(kmers: np.ndarray, chosen: np.ndarray, sigma: float) -> np.ndarray
 
 def greedy_anchors(distinct: DataFrame, p: int, sigma: float, first: str | None = None) -> list[tuple[int, str, float]]:
     """(step, kmer, residual) of p anchors: the first in md5 order, then always the k-mer least explained so far (of equals
-    the least in order). One distributed pass per step over the distinct k-mers; a task sends its best only."""
+    the least in order). One distributed pass per step over the distinct k-mers; a task sends its best only.
+
+    What is left of each k-mer, and its coordinates on the chosen anchors, are kept: a step adds one coordinate, the next row of
+    the Cholesky factor, to a table that is written anew every EVERY steps; between two writings a pass makes up for the
+    few steps since.
+    """
     if first is None:
         row = distinct.orderBy(F.md5("kmer"), "kmer").limit(1).collect()
         if not row:
             return []
         first = row[0]["kmer"]
-    out = [(0, first, float((one_hot([first]) ** 2).sum()))]
+    kernel = K.KmerCosine(sigma)
+    out, chosen = [(0, first, float((one_hot([first]) ** 2).sum()))], one_hot([first])
+    state, done = distinct.select("kmer", F.array().cast("array<double>").alias("at")), 0
+
+    def factor(z: np.ndarray) -> np.ndarray:
+        return np.linalg.cholesky(kernel.block(z, z) + 1e-10 * np.eye(len(z)))
+
+    def stepped(b: pa.RecordBatch, z: np.ndarray, low: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
+        """(coordinates, residual) of a batch: those after ``done`` are made from the ones before."""
+        x = one_hot(b.column(0).to_pylist())
+        at = np.zeros((len(z), len(x)))
+        if done:
+            at[:done] = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(x), done).T
+        new = kernel.block(z[done:], x) - low[done:, :done] @ at[:done]
+        at[done:] = np.linalg.solve(low[done:, done:], new) if len(new) else new
+        return at, (x * x).sum(1) - (at * at).sum(0)
+
     while len(out) < p:
-        chosen = one_hot([a for _, a, _ in out])
+        low = factor(chosen)
+        if len(out) - done >= EVERY:
+
+            def kept(batches: Iterator[pa.RecordBatch], z: np.ndarray = chosen, low: np.ndarray = low, done: int = done) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        at, _ = stepped(b, z, low, done)
+                        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(at.T), pa.list_(pa.float64()))], ["kmer", "at"])
 
-        def best(batches: Iterator[pa.RecordBatch], chosen: np.ndarray = chosen) -> Iterator[pa.RecordBatch]:
+            state, done = keep(state.mapInArrow(kept, "kmer string, at array<double>"), "greedy"), len(out)
+
+        def best(batches: Iterator[pa.RecordBatch], z: np.ndarray = chosen, low: np.ndarray = low, done: int = done) -> Iterator[pa.RecordBatch]:
             top: tuple[float, str] | None = None
             for b in batches:
-                names = b.column(0).to_pylist()
-                for lo in range(0, len(names), 20_000):
-                    part = names[lo : lo + 20_000]
-                    r = np.round(residuals(one_hot(part), chosen, sigma), 9)
-                    most = r.max()
-                    name = min(part[i] for i in np.flatnonzero(r == most))
-                    if top is None or (-most, name) < (-top[0], top[1]):
-                        top = float(most), name
+                if not b.num_rows:
+                    continue
+                r = np.round(stepped(b, z, low, done)[1], 9)
+                most, names = r.max(), b.column(0)
+                name = min(names[int(i)].as_py() for i in np.flatnonzero(r == most))
+                if top is None or (-most, name) < (-top[0], top[1]):
+                    top = float(most), name
             if top:
                 yield pa.RecordBatch.from_arrays([pa.array([top[1]]), pa.array([top[0]])], ["kmer", "r"])
 
-        found = distinct.select("kmer").mapInArrow(best, "kmer string, r double").orderBy(F.desc("r"), "kmer").limit(1).collect()
+        found = state.mapInArrow(best, "kmer string, r double").orderBy(F.desc("r"), "kmer").limit(1).collect()
         if not found or found[0]["r"] <= 1e-9:
             break
         out.append((len(out), found[0]["kmer"], found[0]["r"]))
+        chosen = np.vstack([chosen, one_hot([found[0]["kmer"]])])
     return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.functions import vector as V
 from strandloom.operators import evaluate, kernels, kmers, nystrom, profile
 from strandloom.plans.ship import ship
 
@@ -112,12 +114,7 @@ def kmer_counts(spark, sf_dir):
 
 
 def _distinct(spark, sf_dir, k):
-    """Distinct k-mers of the rows without N, as in the SQL."""
-    return kmers.counts(sequences(spark, sf_dir).filter("not contains(seq, 'N')"), k)
-
-
-def _distinct_of_all(spark, sf_dir, k):
-    """Distinct k-mers without N of all rows."""
+    """Distinct k-mers without N of all rows; a row with N lacks only those that hold one."""
     return kmers.counts(sequences(spark, sf_dir), k).filter("not contains(kmer, 'N')")
 
 
@@ -167,8 +164,8 @@ def nystrom_mean_similarity(spark, sf_dir):
     names = _anchors(spark, sf_dir)
     import numpy as np
 
-    clean = sequences(spark, sf_dir).filter("seq <> '' and not contains(seq, 'N')").select("row_id", "seq")
-    out = nystrom.embed(clean, "seq", names, SIGMA, root=np.eye(len(names)))
+    some = sequences(spark, sf_dir).filter("seq <> ''").select("row_id", "seq")
+    out = nystrom.embed(some, "seq", names, SIGMA, root=np.eye(len(names)))
     keys = F.array(*[F.lit(n) for n in names])
     return out.select("row_id", F.explode(F.arrays_zip(keys.alias("anchor"), F.col("x").alias("s"))).alias("z")).select("row_id", "z.anchor", F.round("z.s", 6).alias("s"))
 
@@ -179,28 +176,32 @@ def nystrom_embed(spark, sf_dir):
 
 
 def nystrom_error(spark, sf_dir):
-    """How well features reproduce the exact kernel, for random anchors p: all rows in md5 order, each with the next."""
+    """How well features reproduce the exact kernel, for random anchors p: all rows in md5 order, each with the next of its slot."""
     names = _anchors(spark, sf_dir, 200)
-    embedded = nystrom.embed(sequences(spark, sf_dir).filter("seq <> '' and not contains(seq, 'N')").select("row_id", "seq", F.col("seq").alias("s")), "seq", names, SIGMA)
+    rows = sequences(spark, sf_dir).filter("seq <> ''")
+    width = nystrom.longest(rows)
+    embedded = nystrom.embed(rows.select("row_id", "seq", F.col("seq").alias("s")), "seq", names, SIGMA)
     buckets = embedded.withColumn("slot", F.pmod(F.xxhash64("row_id"), F.lit(1024)))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("slot").orderBy(F.md5(F.col("row_id").cast("string")))
-    pairs = buckets.select("row_id", "s", "x", F.lead("s").over(w).alias("t"), F.lead("x").over(w).alias("z")).filter("t is not null")
-    exact = F.udf(lambda a, b: nystrom.conv(a, b, K_LONG, SIGMA), "double", useArrow=True)
-    from strandloom.functions import vector as V
+    pairs = buckets.select("s", "x", F.lead("s").over(w).alias("t"), F.lead("x").over(w).alias("z")).filter("t is not null")
+    coded = pairs.select(V.dot(F.col("x"), F.col("z")).alias("approx"), kernels.letter_codes(F.col("s"), width).alias("s"), kernels.letter_codes(F.col("t"), width).alias("t"))
+    conv = kernels.Conv(SIGMA, K_LONG)
+
+    def exact(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(conv.pairs(kernels.matrix(b.column(1)), kernels.matrix(b.column(2))))], ["approx", "exact"])
 
-    values = pairs.select(exact("s", "t").alias("exact"), V.dot(F.col("x"), F.col("z")).alias("approx"))
+    values = coded.mapInArrow(exact, "approx double, exact double")
     return values.agg(F.avg(F.abs(F.col("exact") - F.col("approx"))).alias("mean_error"), F.stddev_pop("exact").alias("std_exact"), F.count(F.lit(1)).alias("pairs"))
 
 
 def greedy_anchors(spark, sf_dir):
-    distinct = _distinct_of_all(spark, sf_dir, 6).persist()
+    distinct = _distinct(spark, sf_dir, 6).persist()
     return spark.createDataFrame(nystrom.greedy_anchors(distinct, 8, SIGMA), "step int, kmer string, residual double")
 
 
 def spectral_cluster(spark, sf_dir):
-    names = sorted(r[0] for r in kmers.anchors(_distinct_of_all(spark, sf_dir, K_LONG), 200).collect())
+    names = sorted(r[0] for r in kmers.anchors(_distinct(spark, sf_dir, K_LONG), 200).collect())
     from strandloom.operators import cluster
 
     at, means = cluster.spectral(nystrom.one_hot(names), 4, SIGMA, K_LONG)
@@ -208,18 +209,19 @@ def spectral_cluster(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir):
-    """Mean k-mer profile of each dataset and label over the rows without N, Z as it is."""
-    clean = sequences(spark, sf_dir).filter("not contains(seq, 'N') and label is not null and dataset is not null")
-    return nystrom.mean_profile(clean.select("dataset", "label", "seq"), K_SHORT, "seq", ["dataset", "label"])
+    """Mean k-mer profile of each dataset and label, N and Z as they are."""
+    known = sequences(spark, sf_dir).filter("label is not null and dataset is not null")
+    return nystrom.mean_profile(known.select("dataset", "label", "seq"), K_SHORT, "seq", ["dataset", "label"])
 
 
 def _h(a: str, b: str, k: int):
-    return sum(((F.substring(a, i, 1) == F.substring(b, i, 1)) & (F.substring(a, i, 1) != "Z")).cast("int") for i in range(1, k + 1))
+    """Aligned equal letters; Z and N equal nothing."""
+    return sum(((F.substring(a, i, 1) == F.substring(b, i, 1)) & ~F.substring(a, i, 1).isin("Z", "N")).cast("int") for i in range(1, k + 1))
 
 
 def conv_gram(spark, sf_dir):
-    """Mean convolutional kernel between the classes of all datasets, over all rows without N, by their k-mer profiles. The join
-    is over the at most 5^k distinct k-mers of the parameter k, never over rows."""
+    """Mean convolutional kernel between the classes of all datasets, over all rows with a label, by their k-mer profiles. The join
+    is over the at most 6^k distinct k-mers of the parameter k, never over rows."""
     p = _profiles(spark, sf_dir)
     q = p.select(F.col("dataset").alias("dataset_b"), F.col("label").alias("label_b"), F.col("kmer").alias("q"), F.col("w").alias("v"))
     known = F.broadcast(q.select("q").distinct())
@@ -229,9 +231,9 @@ def conv_gram(spark, sf_dir):
 
 
 def conv_similarity(spark, sf_dir):
-    """Mean convolutional kernel of every evaluation row without N with each class of its dataset, over its rows without N."""
+    """Mean convolutional kernel of every evaluation row with each class of its dataset."""
     p = _profiles(spark, sf_dir)
-    tests = sequences(spark, sf_dir, "test_df").filter("seq <> '' and not contains(seq, 'N') and dataset is not null")
+    tests = sequences(spark, sf_dir, "test_df").filter("seq <> '' and dataset is not null")
     each = kmers.explode(tests.select("row_id", "dataset", F.length("seq").alias("m"), "seq"), K_SHORT)
     pairs = each.select("kmer").distinct().crossJoin(F.broadcast(p.select(F.col("kmer").alias("q")).distinct()))
     kappa = pairs.select("kmer", "q", (K_SHORT * F.exp((_h("kmer", "q", K_SHORT) / K_SHORT - 1) / SIGMA**2)).alias("kappa"))
@@ -266,8 +268,7 @@ QUERIES = [
     conv_gram, conv_similarity, majority_vote, vote_agreement, grid_runs_summary, grid_runs_best,
 ]
 
-_CLEAN = "clean as (select * from seqs where not contains(seq, 'N'))"
-_ANCHORS = f"{_SEQ}, {_CLEAN}, distincts as (select distinct kmer from ({_kmers(K_LONG, 'clean')})), anchors as (select kmer from distincts order by md5(kmer), kmer limit 50)"
+_ANCHORS = f"{_SEQ}, distincts as (select distinct kmer from ({_kmers(K_LONG)}) where not contains(kmer, 'N')), anchors as (select kmer from distincts order by md5(kmer), kmer limit 50)"
 
 
 def _onehot(kmer: str) -> str:
@@ -278,8 +279,8 @@ _VECTORS = f"{_ANCHORS}, v as (select kmer, {_onehot('kmer')}::double[] as x fro
 _S2 = SIGMA**2
 _COS = f"sqrt(list_dot_product(p.x, p.x) * list_dot_product(q.x, q.x)) * exp((list_dot_product(p.x, q.x) / sqrt(list_dot_product(p.x, p.x) * list_dot_product(q.x, q.x)) - 1) / {_S2}::double)"
 _DIST = f"sqrt(list_dot_product(p.x, p.x) * list_dot_product(q.x, q.x)) * exp(-power(list_distance(p.x, q.x), 2) / (2 * sqrt(list_dot_product(p.x, p.x) * list_dot_product(q.x, q.x)) * {_S2}::double))"
-_HITS = " + ".join(f"(substr(p.kmer, {i}, 1) = substr(q.kmer, {i}, 1) and substr(p.kmer, {i}, 1) <> 'Z')::int" for i in range(1, K_SHORT + 1))
-_PROFILES = f"""{_SEQ}, named as (select row_id, {{0}} as dataset, seq from seqs where not contains(seq, 'N') and seq <> '' and label is not null and dataset is not null),
+_HITS = " + ".join(f"(substr(p.kmer, {i}, 1) = substr(q.kmer, {i}, 1) and substr(p.kmer, {i}, 1) not in ('Z', 'N'))::int" for i in range(1, K_SHORT + 1))
+_PROFILES = f"""{_SEQ}, named as (select row_id, {{0}} as dataset, seq from seqs where seq <> '' and label is not null and dataset is not null),
 k as ({_kmers(K_SHORT, 'named')}), m as (select row_id, dataset, len(seq) as m from named), sizes as (select dataset, count(*) as rows from named group by dataset),
 w as (select k.dataset, kmer, sum(1.0::double / m) / max(rows) as w from k join m using (row_id) join sizes on sizes.dataset = k.dataset group by k.dataset, kmer),
 kappa as (select p.kmer as a, q.kmer as b, {K_SHORT} * exp((({_HITS})::double / {K_SHORT} - 1) / {_S2}::double) as kappa from (select distinct kmer from {{1}}) p, (select distinct kmer from w) q)"""
@@ -307,16 +308,16 @@ select row_id, label, file_label, label = file_label as agrees from train_df joi
     "kmer_circular": f"""with {_SEQ} select row_id, dataset, (i - 1)::integer as pos, substr(right(repeat(seq, turns), {(K_LONG + 1) // 2 - 1}) || seq || left(repeat(seq, turns), {(K_LONG + 2) // 2 - 1}), i, {K_LONG}) as kmer
 from (select row_id, dataset, seq, ceil({float((K_LONG + 2) // 2 - 1)} / len(seq))::bigint as turns, unnest(range(1, len(seq) + 1)) as i from seqs where seq <> '')""",
     "kmer_counts": f"with {_SEQ} select kmer, count(*) as n from ({_kmers(K_LONG)}) group by kmer",
-    "kmer_onehot": f"with {_SEQ}, {_CLEAN} select kmer, array_to_string({_onehot('kmer')}, '') as onehot from (select distinct kmer from ({_kmers(K_SHORT, 'clean')}))",
-    "anchor_sample": f"with {_SEQ}, {_CLEAN} select kmer from (select distinct kmer from ({_kmers(K_LONG, 'clean')})) order by md5(kmer), kmer limit 100",
+    "kmer_onehot": f"with {_SEQ} select kmer, array_to_string({_onehot('kmer')}, '') as onehot from (select distinct kmer from ({_kmers(K_SHORT)}) where not contains(kmer, 'N'))",
+    "anchor_sample": f"with {_SEQ} select kmer from (select distinct kmer from ({_kmers(K_LONG)})) where not contains(kmer, 'N') order by md5(kmer), kmer limit 100",
     "kmer_kernel_cos": f"with {_VECTORS} select p.kmer as a, q.kmer as b, round({_COS}, 6) as k from v p join v q on p.kmer <= q.kmer",
     "kmer_kernel_dist": f"with {_VECTORS} select p.kmer as a, q.kmer as b, round({_DIST}, 6) as k from v p join v q on p.kmer <= q.kmer",
     "kzz_matrix": f"with {_VECTORS} select p.kmer as a, q.kmer as b, round({_COS}, 6) as k from v p, v q",
     "kzz_matrix_compat": f"with {_VECTORS} select p.kmer as a, q.kmer as b, round(case when p.kmer < q.kmer then {_COS} when p.kmer = q.kmer then {_COS} / 2 else 0 end, 6) as k from v p, v q",
-    "nystrom_mean_similarity": f"""with {_VECTORS}, filled as (select * from clean where seq <> ''), k as ({_kmers(K_LONG, 'filled')}), d as (select kmer, {_onehot('kmer')}::double[] as x from (select distinct kmer from k)),
-kk as (select p.kmer as anchor, q.kmer, {_COS} as s from v p, d q) select row_id, anchor, round(avg(s), 6) as s from k join kk using (kmer) group by row_id, anchor""",
+    "nystrom_mean_similarity": f"""with {_VECTORS}, filled as (select * from seqs where seq <> ''), k as ({_kmers(K_LONG, 'filled')}), d as (select kmer, {_onehot('kmer')}::double[] as x from (select distinct kmer from k)),
+kk as (select p.kmer as anchor, q.kmer, case when list_sum(q.x) > 0 then {_COS} else 0 end as s from v p, d q) select row_id, anchor, round(avg(s), 6) as s from k join kk using (kmer) group by row_id, anchor""",
     "conv_gram": f"with {_PROFILES.format('dataset || chr(58) || label', 'w')} select split_part(x.dataset, ':', 1)::int as dataset, split_part(x.dataset, ':', 2)::int as label, split_part(y.dataset, ':', 1)::int as dataset_b, split_part(y.dataset, ':', 2)::int as label_b, round(sum(x.w * y.w * kappa), 6) as k from w x join kappa on x.kmer = a join w y on y.kmer = b group by x.dataset, y.dataset",
-    "conv_similarity": f"""with {_TEST}, ts as (select * from tests where seq <> '' and not contains(seq, 'N') and dataset is not null), tk as ({_kmers(K_SHORT, 'ts')}), {_PROFILES.format('dataset || chr(58) || label', 'tk')},
+    "conv_similarity": f"""with {_TEST}, ts as (select * from tests where seq <> '' and dataset is not null), tk as ({_kmers(K_SHORT, 'ts')}), {_PROFILES.format('dataset || chr(58) || label', 'tk')},
 v as (select split_part(dataset, ':', 1)::int as dataset, split_part(dataset, ':', 2)::int as label, a as kmer, sum(w * kappa) as v from w join kappa on kmer = b group by all)
 select row_id, label, round(avg(v), 6) as k from tk join v on v.dataset = tk.dataset and v.kmer = tk.kmer group by row_id, label""",
     "majority_vote": f"with {_LATEST} select id as \"Id\", (avg(bound) > 0.5)::int as \"Bound\" from latest group by id",
