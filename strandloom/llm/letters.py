@@ -275,3 +275,30 @@ def flanks(codes: np.ndarray, places: np.ndarray, k: int, f: int) -> tuple[np.nd
         far = places + k + j
         right |= (np.where(far < n, codes[np.minimum(far, n - 1)], 0) & 3).astype(np.uint16) << np.uint16(2 * j)
     return left, right
+
+
+def readings(batch: Batch, width: int, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, record of each): the surroundings of unread letters, once for each way to read them, each ended by a 4.
+
+    Every window of width letters with one to ``most`` N stands there in all its readings; windows with more N in none.
+    """
+    parts, rows = [np.empty(0, np.uint8)], [np.empty(0, np.int32)]
+    for r in np.flatnonzero(batch.broken()).tolist():
+        s, n = int(batch.starts[r]), int(batch.lengths[r])
+        codes = batch.codes[s : s + n]
+        at = np.flatnonzero(codes > 3).tolist()
+        edge = [-1, *at, n]
+        for i in range(len(at)):
+            for q in range(1, most + 1):
+                if i + q > len(at) or at[i + q - 1] - at[i] >= width:
+                    break
+                lo, hi = max(edge[i] + 1, at[i + q - 1] - width + 1), min(edge[i + q + 1], at[i] + width)
+                if hi - lo < width:
+                    continue
+                ways = 4**q
+                piece = np.repeat(np.append(codes[lo:hi], 4)[None, :], ways, axis=0)
+                for j in range(q):
+                    piece[:, at[i + j] - lo] = np.arange(ways) >> (2 * j) & 3
+                parts.append(piece.reshape(-1).astype(np.uint8))
+                rows.append(np.full(piece.size, r, np.int32))
+    return np.concatenate(parts), np.concatenate(rows)

@@ -17,8 +17,8 @@ from strandloom.llm.linkage import components
 from strandloom.llm.thresholds import weigher
 from strandloom.plans.shared import keep
 
-#: Similarity of at least a half: all such pairs share 17 letters (sure_stretch), with N, which may break terms of one side only, 13.
-RULE = J.Rule(0.5, stretch=13)
+#: Similarity of at least a half: all such pairs share 17 letters (sure_stretch), 16 if all their breaks are long unread stretches.
+RULE = J.Rule(0.5)
 
 
 @dataclass(frozen=True)

@@ -19,7 +19,7 @@ from strandloom.llm import simjoin as J
 from strandloom.llm.thresholds import weigher
 from strandloom.plans.shared import keep
 
-RULE = J.Rule(0.5, stretch=13)
+RULE = J.Rule(0.5)
 
 
 def _seeds(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

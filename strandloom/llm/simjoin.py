@@ -195,9 +195,11 @@ def seed_blocks(table: DataFrame, rule: Rule, k: int, buckets: int, weigh: Weigh
 
         for b in batches:
             batch = L.unpack(b.column(1))
-            places, seeds, chose = L.sampled(batch.codes, k, w, rule.term, rule.distinct)
-            which = batch.rows()[places]
-            left, right = L.flanks(batch.codes, places, k, w - 1)
+            more, of = L.readings(batch, rule.stretch)
+            codes, rows_ = (np.concatenate([batch.codes, more]), np.concatenate([batch.rows(), of])) if len(more) else (batch.codes, batch.rows())
+            places, seeds, chose = L.sampled(codes, k, w, rule.term, rule.distinct)
+            which = rows_[places]
+            left, right = L.flanks(codes, places, k, w - 1)
             need, spread = weigh(batch, which, seeds, chose) if weigh else (np.ones(len(places), np.uint8), np.ones(len(places), np.int64))
             s = Seeds(slot=(seeds.astype(np.uint64) * odd) & mask, id=b.column(0).to_numpy()[which], left=left, right=right, chose=chose, need=need, floor=b.column(2).to_numpy()[which], role=np.full(len(places), BOTH, np.uint8))
             target = (s.slot >> shift).astype(np.int64)

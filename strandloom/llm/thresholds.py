@@ -108,14 +108,13 @@ def weigher(rule: Rule, crowded: int = 6, most: int = 24):
             need = np.ones(len(seeds), np.uint8)
             logs = shared.value[cell(seeds)]
             spread = np.int64(1) << np.maximum(logs.astype(np.int64) - share, 0)
-            hot = np.flatnonzero(logs > crowded)
+            hot = np.flatnonzero((logs > crowded) & ~batch.broken()[which])  # none with N: what one breaks is not bounded (simjoin.rows)
             if not len(hot):
                 return need, spread
             rows, row_of = np.unique(which[hot], return_inverse=True)
             nth = np.arange(len(hot)) - np.searchsorted(row_of, row_of)
             terms = np.bincount((L.distinct_terms(batch, rule.term) >> (2 * rule.term)).astype(np.int64), minlength=len(batch))[rows]
             budgets = budget_of[np.minimum(terms, len(budget_of) - 1)]
-            budgets = np.where(batch.broken()[rows], 0, budgets)  # what an N breaks is not bounded (simjoin.rows)
             size = np.bitwise_count(chose[hot])
             each = np.bincount(row_of)
             width = 1 << np.ceil(np.log2(each)).astype(np.int64)  # records with about as many crowded partitions together
