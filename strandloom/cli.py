@@ -41,10 +41,14 @@ def parser() -> argparse.ArgumentParser:
     greedy = sub.add_parser("greedy")
     for x in (tune, stored):
         x.add_argument("-c", "--clf", choices=["SVM", "SPR"], default="SVM")
-        x.add_argument("-k", "--kernel", choices=["Gaussian", "Linear"], default="Gaussian")
+        x.add_argument("-k", "--kernel", choices=["Gaussian", "Linear", "Conv"] if x is tune else ["Gaussian", "Linear"], default="Gaussian")
         x.add_argument("--k-fold", type=int, default=5)
     _range(tune, "lambda", -7, -4, 10, True)
     _range(tune, "gamma", 50, 600, 51, False)
+    _range(tune, "sigma", 0.3, 0.5, 3, False)
+    _range(tune, "window-size", 8, 12, 3, False)
+    tune.add_argument("--precomputed", action="store_true", help="write each Gram matrix once and cut the folds from it (SVM)")
+    tune.add_argument("--log", help="file to log all runs to, beside the console")
     _range(stored, "lambda", -9, -5, 2, True)
     _range(stored, "gamma", 100, 300, 2, False)
     embed.add_argument("--window-size", type=int, nargs="+", default=[9, 10, 11])
@@ -69,17 +73,32 @@ def placed(df: DataFrame, k: int) -> DataFrame:
     return evaluate.folds(profile.ranked(df, "dataset", F.col("id")).join(F.broadcast(sizes), "dataset"), k)
 
 
-def tune(df: DataFrame, clf: str, kernel: str, gammas: list[float], lambdas: list[float], k: int) -> DataFrame:
-    """(dataset, run, gamma, lam, train_avg, val_avg, ...) of all runs; gammas run slowest, as results are compared in that order."""
+def kernels(kernel: str, gammas: list[float], sigmas: list[float], windows: list[int]) -> list[tuple[K.Kernel, dict[str, float]]]:
+    """Kernels of a grid with their parameters; the last parameter runs fastest."""
+    if kernel == "Conv":
+        return [(K.Conv(s, w), {"gamma": 0.0, "sigma": s, "window_size": w}) for s in sigmas for w in windows]
+    if kernel == "Gaussian":
+        return [(K.Gaussian(g), {"gamma": g, "sigma": 0.0, "window_size": 0}) for g in gammas]
+    return [(K.Linear(), {"gamma": 0.0, "sigma": 0.0, "window_size": 0})]
+
+
+def tune(df: DataFrame, clf: str, kernel: str, gammas: list[float], lambdas: list[float], k: int, sigmas: list[float] = (), windows: list[int] = (), precomputed: bool = False) -> DataFrame:
+    """(dataset, run, gamma, sigma, window_size, lam, train_avg, val_avg, ...) of all runs; lambdas run fastest, as results are
+    compared in that order. precomputed: each Gram matrix is written once, and the folds take their rows and columns from it."""
     folded = keep(placed(df, k), "folded")
-    spark, kernels_ = df.sparkSession, [K.Gaussian(g) for g in gammas] if kernel == "Gaussian" else [K.Linear()]
+    some = kernels(kernel, gammas, list(sigmas), list(windows))
     if clf == "SPR":
-        runs = evaluate.cross_validate(folded, kernels_, k).withColumnRenamed("kernel", "run").withColumn("lam", F.lit(0.0))
-        return runs.join(F.broadcast(evaluate.grid(spark, gamma=gammas if kernel == "Gaussian" else [0.0])), "run")
+        runs = evaluate.cross_validate(folded, [x for x, _ in some], k).withColumnRenamed("kernel", "run").withColumn("lam", F.lit(0.0))
+        rows = [(i, float(p["gamma"]), float(p["sigma"]), int(p["window_size"])) for i, (_, p) in enumerate(some)]
+        return runs.join(F.broadcast(df.sparkSession.createDataFrame(rows, "run int, gamma double, sigma double, window_size int")), "run")
     parts = None
-    for n, kern in enumerate(kernels_):
-        each = evaluate.summary(svm.cv_grid(folded, kern, lambdas, k), ["dataset", "run", "lam"])
-        each = each.withColumn("run", F.col("run") + n * len(lambdas)).withColumn("gamma", F.lit(float(getattr(kern, "gamma", 0.0))))
+    for n, (kern, p) in enumerate(some):
+        if precomputed:
+            scores = svm.cv_gram(keep(K.entries(folded, None, kern), "gram"), folded, lambdas, k)
+        else:
+            scores = svm.cv_grid(folded, kern, lambdas, k)
+        each = evaluate.summary(scores, ["dataset", "run", "lam"]).withColumn("run", F.col("run") + n * len(lambdas))
+        each = each.withColumns({"gamma": F.lit(float(p["gamma"])), "sigma": F.lit(float(p["sigma"])), "window_size": F.lit(int(p["window_size"]))})
         parts = each if parts is None else parts.unionByName(each)
     return parts
 
@@ -87,6 +106,7 @@ def tune(df: DataFrame, clf: str, kernel: str, gammas: list[float], lambdas: lis
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+    LOG.setLevel(logging.INFO)
     spark = ship(spark or SparkSession.builder.appName("strandloom").getOrCreate())
     if args.command == "final":
         return pipeline.run(spark, args.data, args.out, tuple(args.datasets))
@@ -94,13 +114,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
         gammas = values(args.gamma_min, args.gamma_max, args.gamma_num, args.gamma_logscale)
         lambdas = values(args.lambda_min, args.lambda_max, args.lambda_num, args.lambda_logscale)
         if args.command == "tune":
-            parts = [files.read_dataset(spark, args.data, d, matrix=True)[0].withColumn("dataset", F.lit(d)).withColumnRenamed("label", "y") for d in args.datasets]
+            conv = args.kernel == "Conv"
+            parts = [files.read_dataset(spark, args.data, d, matrix=not conv)[0].withColumn("dataset", F.lit(d)).withColumnRenamed("label", "y") for d in args.datasets]
             df = parts[0]
             for part in parts[1:]:
                 df = df.unionByName(part)
+            if conv:
+                df = keep(nystrom.conv_rows(df, nystrom.longest(df)), "letters")
         else:
             df = files.read_embeddings(spark, args.embeddings).filter(F.col("dataset").isin(args.datasets))
-        runs = keep(tune(df, args.clf, args.kernel, gammas, lambdas, args.k_fold), "runs")
+        more = {}
+        if args.command == "tune":
+            sigmas = values(args.sigma_min, args.sigma_max, args.sigma_num, args.sigma_logscale)
+            windows = [int(w) for w in values(args.window_size_min, args.window_size_max, args.window_size_num, args.window_size_logscale)]
+            more = {"sigmas": sigmas, "windows": windows, "precomputed": args.precomputed}
+            if args.log:
+                LOG.addHandler(logging.FileHandler(args.log))
+        runs = keep(tune(df, args.clf, args.kernel, gammas, lambdas, args.k_fold, **more), "runs")
+        for r in runs.orderBy("dataset", "run").toLocalIterator():  # one row a run
+            LOG.info("%s", {c: r[c] for c in ("dataset", "run", "gamma", "sigma", "window_size", "lam", "train_avg", "val_avg", "train_std", "val_std")})
         best = evaluate.best(runs)
         for r in best.orderBy("dataset").collect():
             LOG.info("dataset %s: best %s", r["dataset"], r.asDict())

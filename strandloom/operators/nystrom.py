@@ -61,11 +61,12 @@ def inverse_root(kernel: np.ndarray, beta: float = 1e-3, compat: bool = False) -
     return (vectors / np.sqrt(np.maximum(values, 1e-15))) @ vectors.T
 
 
-def embed(df: DataFrame, seq: str, anchors: list[str], sigma: float, beta: float = 1e-3, root: np.ndarray | None = None, compat: bool = False) -> DataFrame:
+def embed(df: DataFrame, seq: str, anchors: list[str], sigma: float, beta: float = 1e-3, root: np.ndarray | None = None, compat: bool = False, anchor_norm: bool = False) -> DataFrame:
     """df without seq, with x: the mean kernel of all k-mers of a sequence with the anchors, times K_ZZ^(-1/2).
 
     The mean over positions comes first, then one product with the matrix: it is linear. Null and empty sequences give
     null. root: another matrix in place of K_ZZ^(-1/2). compat: anchors of norm 1 and the factor sqrt(k) for all k-mers.
+    anchor_norm: the norm sqrt(k) for all k-mers, and the anchors' own, as for anchors that are centroids.
     """
     k = len(anchors[0])
     z = one_hot(anchors)
@@ -85,6 +86,7 @@ def embed(df: DataFrame, seq: str, anchors: list[str], sigma: float, beta: float
         places = np.arange(upto[-1]) + np.repeat(first - (upto - sizes), sizes)
         w = np.lib.stride_tricks.sliding_window_view(flat.reshape(-1), 4 * k)[::4][places]
         n = np.sqrt(w.sum(1))
+        n = np.full(len(n), np.sqrt(k)) if anchor_norm else n
         cosine = (w @ unit.T) / np.where(n > 0, n, 1)[:, None]
         e = np.exp((cosine - 1) / sigma**2)
         e = np.sqrt(k) * e if compat else n[:, None] * nz * e

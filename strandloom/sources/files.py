@@ -108,3 +108,8 @@ def list_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 def write_anchors(df: DataFrame, path: str) -> None:
     """(dataset, batch, step, kmer) of chosen anchors."""
     df.write.mode("overwrite").partitionBy("dataset").parquet(path)
+
+
+def read_anchors(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, batch, step, kmer) as written by write_anchors()."""
+    return spark.read.schema("batch int, step int, kmer string, dataset int").parquet(path).select("dataset", "batch", "step", "kmer")

@@ -190,3 +190,94 @@ def test_greedy_anchors(spark):
         assert name == min(n for n, v in zip(names, rest) if v == rest.max()) and abs(r - rest.max()) < 1e-8
         chosen.append(name)
     assert len(set(chosen)) == 4
+
+
+@pytest.mark.parametrize("lam", [1e-2, 1e-7, 1e-12])
+def test_svm_tells_how_far_it_is_from_optimal(data, lam):
+    x, y, df = data
+    rows = svm.fit(df, K.Gaussian(0.5), lam).collect()
+    assert len(rows) == 60 and all(r.residual < 1e-5 and r.bias == 0 for r in rows)
+
+
+def test_svm_with_bias(data):
+    x, y, df = data
+    lam, kernel = 1e-3, K.Gaussian(0.5)
+    model = svm.fit(df, kernel, lam, bias=True)
+    rows = {r.id: r for r in model.collect()}
+    c = 1 / (2 * 30 * lam)
+    for d in (0, 1):
+        ids = np.arange(d, 60, 2)
+        a, sign = np.array([rows[int(i)].alpha for i in ids]), 2 * y[ids] - 1
+        assert abs(a.sum()) < 1e-6 and all(rows[int(i)].residual < 1e-5 for i in ids)
+        margin = sign * (kernel.block(x[ids], x[ids]) @ a + rows[d].bias)
+        inside = (sign * a > 1e-6) & (sign * a < c - 1e-6)
+        assert np.allclose(margin[inside], 1, atol=1e-4) and (margin[sign * a <= 1e-6] > 1 - 1e-4).all()
+    scores = {r.id: r.score for r in svm.predict(model, df, df, kernel).collect()}
+    similar = K.entries(df, df, kernel)
+    stored = {r.id: r.score for r in svm.predict_gram(model, similar).collect()}
+    assert scores.keys() == stored.keys() and all(abs(scores[i] - stored[i]) < 1e-9 for i in scores)
+
+
+def test_folds_cut_from_a_stored_gram_matrix(data):
+    _, _, df = data
+    folded = df.withColumn("fold", (F.col("id") % 3).cast("int"))
+    kernel, lams = K.Gaussian(0.5), [1e-2, 1e-3]
+    made = {(r.dataset, r.run, r.f): (r.train, r.val) for r in svm.cv_grid(folded, kernel, lams, 3).collect()}
+    cut = {(r.dataset, r.run, r.f): (r.train, r.val) for r in svm.cv_gram(K.entries(folded, None, kernel), folded, lams, 3).collect()}
+    assert len(made) == 12 and made == cut
+
+
+def test_spectrum(data):
+    x, _, df = data
+    got = [r.value for r in svm.spectrum(df.filter("dataset = 0"), K.Linear(), 3).orderBy("place").collect()]
+    c = x[::2] - x[::2].mean(0)
+    assert np.allclose(got, np.sort(np.linalg.eigvalsh(c @ c.T))[::-1][:3])
+
+
+def test_conv_kernel_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGTN"), rng.integers(0, 30))) for _ in range(20)] + ["", "A", "NNNN"]
+    df = spark.createDataFrame([(0, i, s, i % 2) for i, s in enumerate(seqs)], "dataset int, id long, seq string, y int")
+    monkeypatch.setattr(K, "BLOCK", 7)
+    kernel = K.REGISTRY["Conv"](0.5, 4)
+    rows = nystrom.conv_rows(df, nystrom.longest(df))
+    assert {r.id for r in rows.collect()} == {i for i, s in enumerate(seqs) if s}
+    got = {(r.i, r.j): r.k for r in K.entries(rows, rows, kernel).collect()}
+    assert all(abs(v - nystrom.conv(seqs[i], seqs[j], 4, 0.5)) < 1e-9 for (i, j), v in got.items())
+    x = K.matrix(rows.orderBy("id").toArrow().column("x"))
+    order = [i for i, s in enumerate(seqs) if s]
+    assert np.allclose(kernel.pairs(x, x[::-1]), [got[i, j] for i, j in zip(order, order[::-1])])
+    model = svm.fit(rows, kernel, 1e-3)
+    scored = svm.predict(model, rows, rows, kernel).collect()
+    assert len(scored) == len(order) and {r.y_pred for r in scored} <= {0.0, 0.5, 1.0}
+
+
+def test_anchor_norm_features(spark):
+    names, sigma, k = ["ACG", "TTA"], 0.6, 3
+    df = spark.createDataFrame([(1, "ACGTNA"), (2, ""), (3, None), (4, "G")], "id long, seq string")
+    got = {r.id: r.x for r in nystrom.embed(df, "seq", names, sigma, root=np.eye(2), anchor_norm=True).collect()}
+    assert got[2] is None and got[3] is None
+    z = nystrom.one_hot(names)
+    for i, s in ((1, "ACGTNA"), (4, "G")):
+        w = nystrom.windows(s, k)
+        want = np.linalg.norm(z, axis=1) * np.sqrt(k) * np.exp((w @ (z / np.linalg.norm(z, axis=1)[:, None]).T / np.sqrt(k) - 1) / sigma**2)
+        assert np.allclose(got[i], want.mean(0))
+
+
+def test_greedy_anchors_keep_their_state(spark, monkeypatch):
+    names = ["".join(x) for x in np.random.default_rng(4).choice(list("ACGT"), (120, 4))]
+    df = spark.createDataFrame([(n,) for n in sorted(set(names))], "kmer string").repartition(3)
+    whole = nystrom.greedy_anchors(df, 9, 0.5, first=names[0])
+    monkeypatch.setattr(nystrom, "EVERY", 2)
+    kept = nystrom.greedy_anchors(df, 9, 0.5, first=names[0])
+    assert [a[:2] for a in whole] == [a[:2] for a in kept] and len(kept) == 9
+
+
+def test_drawn_with_replacement(spark):
+    from strandloom.operators import kmers
+
+    df = spark.createDataFrame([(c,) for c in "ABCDE"], "kmer string")
+    got = [(r.draw, r.kmer) for r in kmers.drawn(df, 40).orderBy("draw").collect()]
+    assert [d for d, _ in got] == list(range(40)) and {k for _, k in got} == set("ABCDE")
+    assert got == [(r.draw, r.kmer) for r in kmers.drawn(df.repartition(3), 40).orderBy("draw").collect()]
+    assert kmers.drawn(df.limit(0), 3).count() == 0

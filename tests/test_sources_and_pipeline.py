@@ -60,6 +60,17 @@ def test_pipeline_and_cli(spark, folder, tmp_path):
     assert cli.main(stored, spark).count() == 1
     anchors = cli.main(["greedy", "--data", str(folder), "--out", str(tmp_path / "anchors"), "--datasets", "0", "--batch", "1", "--n-anchors-per-batch", "3"], spark)
     assert anchors.count() == 3
+    read = files.read_anchors(spark, str(tmp_path / "anchors"))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, anchors.collect()))
+
+
+@pytest.mark.parametrize("more", [[], ["--precomputed"]])
+def test_tuning_with_the_conv_kernel(spark, folder, tmp_path, more):
+    log = tmp_path / "runs.log"
+    grid = ["--sigma-num", "2", "--window-size-min", "4", "--window-size-max", "6", "--window-size-num", "2", "--lambda-num", "2", "--lambda-min", "-3", "--lambda-max", "-2"]
+    best = cli.main(["tune", "--data", str(folder), "--datasets", "0", "--kernel", "Conv", "--k-fold", "3", "--log", str(log), *grid, *more], spark).collect()
+    assert len(best) == 1 and best[0].window_size in (4, 6) and best[0].sigma in (0.3, 0.5)
+    assert log.read_text().count("window_size") >= 8
 
 
 def test_pipeline_numbers_rows_by_counted_test_rows(spark, folder, tmp_path):
