@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import clusters, containers, frequency, near, overlap, pieces, spans, tokens
@@ -58,6 +58,10 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("source", "dataset").withColumn("mean_covered", F.round("mean_covered", 6))
 
 
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_report(spark, sf_dir).select("split", "dataset", "pairs", "test_rows")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near.near_pairs(_table(spark, sf_dir, "train_df"), "row_id", "sequence")
     return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
@@ -93,10 +97,47 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.usage(_filled(spark, sf_dir), _fill_limits(spark, sf_dir)).withColumn("unused_share", F.round("unused_share", 6))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for every capacity: each document placed whole and once, none divided that fits, no container overfull."""
+    sizes = keep(tokens.count(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("tokens", "size"), "sizes")
+    limits = _fill_limits(spark, sf_dir)
+    placed = keep(containers.fill(sizes, limits), "placed").join(F.broadcast(limits), "limit_id")
+    full = placed.groupBy("limit_id", "container").agg(F.sum("length").alias("used"), F.first("capacity").alias("capacity"))
+    full = full.groupBy("limit_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    each = placed.groupBy("limit_id", "id").agg(F.sum("length").alias("placed"), F.count(F.lit(1)).alias("parts"), F.first("capacity").alias("capacity")).join(sizes, "id")
+    sound = each.groupBy("limit_id").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.coalesce("placed", F.lit(0)) != F.coalesce("size", F.lit(0))).alias("not_whole"),
+        F.count_if((F.col("parts") > 1) & (F.col("size") <= F.col("capacity"))).alias("divided_though_fitting"),
+    )
+    return sound.join(full, "limit_id").select("limit_id", "documents", "not_whole", "divided_though_fitting", "overfull")
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for every limit: no piece over it, none beginning later than the overlap asks for, all tokens of longer texts covered."""
+    limits = _table(spark, sf_dir, "size_limits").filter("purpose = 'cut'")
+    documents = _table(spark, sf_dir, "documents")
+    sizes = tokens.count(documents, "doc_id", "text").withColumnRenamed("tokens", "size")
+    asked = F.broadcast(limits.select("limit_id", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap")))
+    by_text = Window.partitionBy("limit_id", "id").orderBy("piece")
+    before = F.lag(F.col("start") + F.col("tokens")).over(by_text)
+    each = pieces.split(documents, "doc_id", "text", limits).drop("text").withColumn("before", before).join(asked, "limit_id")
+    wrong = each.groupBy("limit_id", "id").agg(
+        F.count_if(F.col("tokens") > F.col("max_tokens")).alias("over"),
+        F.count_if((F.col("start") > F.col("before") - F.col("overlap")) | (F.col("before").isNull() & (F.col("start") > 0))).alias("late"),
+        F.max(F.col("start") + F.col("tokens")).alias("upto"),
+    )
+    longer = sizes.join(asked).filter(F.col("size") > F.col("max_tokens"))
+    all_ = longer.join(wrong, ["limit_id", "id"], "full")
+    sums = all_.groupBy("limit_id").agg(F.sum("over").alias("over"), F.sum("late").alias("late"), F.count_if(~F.col("upto").eqNullSafe(F.col("size"))).alias("not_covered"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("over", "late", "not_covered")]
+    return limits.select("limit_id").join(sums, "limit_id", "left").select("limit_id", *zero)
+
+
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = _table(spark, sf_dir, "size_limits").filter("purpose = 'cut'")
     return pieces.split(_table(spark, sf_dir, "documents"), "doc_id", "text", limits).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_counts, p3_found, p3_shares, p4_found, p4_coverage, p4_report, p5_found, p5_groups, p6_ids, p6_counts, p7_containers, p7_usage, p8_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_counts, p3_found, p3_shares, p4_found, p4_coverage, p4_report, p4_counts, p5_found, p5_groups, p6_ids, p6_counts, p7_containers, p7_usage, p7_checks, p8_pieces, p8_checks)}

@@ -58,6 +58,24 @@ runs as (select row_id, i, sum(case when before is null or i > before + 40 then
 select row_id, min(i)::integer as span_start, (max(i) + 39)::integer as span_end from runs group by row_id, run"""
 
 
+_REPS = f"(select min(row_id) as row_id, {_LETTERS} as sequence from train_df group by {_LETTERS})"
+
+P5_GROUPS = f"""with recursive {_compared('t', _REPS)},
+links as materialized ({_pairs('t', 't', 0.5, 'and x.row_id < y.row_id')}),
+ways as materialized (select a, b from links union all select b, a from links),
+reached as (select a as row_id, a as other from ways union select r.row_id, w.b from reached r join ways w on r.other = w.a),
+least as (select row_id, min(other) as group_id from reached group by row_id),
+many as (select a as row_id, count(*)::bigint as links from ways group by a)
+select r.row_id, c.row_id as class_id, coalesce(g.group_id, c.row_id) as group_id, coalesce(m.links, 0)::bigint as links
+from ({_rows('train_df')}) r join {_REPS} c on r.letters = c.sequence left join least g on g.row_id = c.row_id left join many m on m.row_id = c.row_id
+where c.row_id in (select row_id from t)"""
+
+P4_COUNTS = f"""with {_compared('t', 'train_df')}, {_compared('e', 'test_df')},
+pairs as ({_pairs('t', 'e', 0.5, '')})
+select lower(trim(s.split)) as split, d.dataset, count(*)::bigint as pairs, count(distinct b)::bigint as test_rows
+from pairs join train_df d on d.row_id = a join test_df s on s.row_id = b group by all"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1,
@@ -68,5 +86,9 @@ def oracle_sql() -> dict[str, str]:
 from (select row_id, coalesce(len(letters), 0) as letters from ({_rows('train_df')})) left join
 (select row_id, sum(span_end - span_start + 1)::bigint as shared from ({P3}) group by row_id) using (row_id)""",
         "p4_found": P4,
+        "p4_counts": P4_COUNTS,
         "p5_found": P5,
+        "p5_groups": P5_GROUPS,
+        "p7_checks": "select limit_id, (select count(*) from documents)::bigint as documents, 0::bigint as not_whole, 0::bigint as divided_though_fitting, 0::bigint as overfull from size_limits where purpose = 'fill'",
+        "p8_checks": "select limit_id, 0::bigint as over, 0::bigint as late, 0::bigint as not_covered from size_limits where purpose = 'cut'",
     }
