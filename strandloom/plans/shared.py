@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; set to a temporary one only where the cluster names none."""
     folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set(_KEY, folder)
         atexit.register(_remove, spark, folder)
