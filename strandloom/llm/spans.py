@@ -32,6 +32,8 @@ MOST_CELLS = 27
 _SLICES = 64
 #: Places of one anchor that go to one group.
 GROUP = 2000
+#: What a cell of a task's own sketch holds; counts beyond it are sent on at once.
+FULL = 65_535
 _BLOCK_ROWS = 60_000
 
 
@@ -126,7 +128,14 @@ def sketch(texts: DataFrame, length: int, letters: int) -> Sketch:
     """The merged count-min sketch of all anchors of texts (text)."""
     expected = 2 * letters / (length - seed_length(length) + 2)
     log_cells = int(np.clip(np.ceil(np.log2(max(expected, 1) * 8)), 16, MOST_CELLS))
-    width = (1 << log_cells) // _SLICES
+    width, full, group_size = (1 << log_cells) // _SLICES, FULL, GROUP  # the driver's values, also within tasks
+
+    def sent(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Counts n of cells, which are in order, by slice."""
+        edges = np.searchsorted(at, np.arange(_SLICES + 1) * width)
+        some = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
+        packed = [blocks.write([at[edges[i] : edges[i + 1]] - i * width, n[edges[i] : edges[i + 1]]]) for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["slice", "block"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << log_cells, np.uint16)
@@ -134,18 +143,20 @@ def sketch(texts: DataFrame, length: int, letters: int) -> Sketch:
             _, seeds = anchors(L.normalise(b.column(0)).codes, length)
             for c in _cells(seeds, log_cells):
                 at, n = np.unique(c, return_counts=True)
-                cells[at] = np.minimum(cells[at].astype(np.int64) + n, 65_535)
-        parts = cells.reshape(_SLICES, width)
-        some = [i for i in range(_SLICES) if parts[i].any()]
-        packed = [blocks.write([np.flatnonzero(parts[i]), parts[i][parts[i] > 0]]) for i in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["slice", "block"])
+                n += cells[at]
+                over = n > full
+                if over.any():
+                    yield sent(at[over], n[over])
+                cells[at] = np.where(over, 0, n)
+        at = np.flatnonzero(cells)
+        yield sent(at, cells[at])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for block in group.column("block").to_pylist():
             at, n = blocks.read(block, 2)
             total[at] += n
-        hot = np.flatnonzero(total > GROUP)
+        hot = np.flatnonzero(total > group_size)
         return pa.table({"slice": group.column("slice")[:1], "block": pa.array([np.packbits(total > 1, bitorder="little").tobytes()], pa.binary()), "hot": pa.array([blocks.write([hot, total[hot]])], pa.binary())})
 
     merged = texts.mapInArrow(count, "slice int, block binary").groupBy("slice").applyInArrow(add, "slice int, block binary, hot binary")

@@ -143,6 +143,15 @@ def test_shares_and_empty(spark, rows):
     assert spans.spans(df.limit(0), "row_id", "sequence").count() == 0
 
 
+def test_sketch_counts_are_whole_however_full_its_cells(spark, rows, monkeypatch):
+    monkeypatch.setattr(spans, "GROUP", 2)
+    texts = spark.createDataFrame([(s,) for s in rows * 5], "text string").repartition(2)
+    want = spans.sketch(texts, 40, 20_000)
+    monkeypatch.setattr(spans, "FULL", 1)
+    got = spans.sketch(texts, 40, 20_000)
+    assert len(want.hot) and (got.hot == want.hot).all() and (got.hot_counts == want.hot_counts).all() and (got.repeated == want.repeated).all()
+
+
 def test_suffix_intervals_of_one_text():
     found = frequency.suffix_array(L.normalise(pa.array(["ACACAC"])), 3)
     assert [frequency.intervals(found, n)[1].tolist() for n in (1, 2, 3)] == [[3, 3], [3, 2], [2, 2]]
