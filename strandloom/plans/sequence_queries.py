@@ -113,25 +113,25 @@ def kmer_counts(spark, sf_dir):
     return kmers.counts(sequences(spark, sf_dir), K_LONG)
 
 
-def _distinct(spark, sf_dir, k):
+def _distinct_of_all(spark, sf_dir, k):
     """Distinct k-mers without N of all rows; a row with N lacks only those that hold one."""
     return kmers.counts(sequences(spark, sf_dir), k).filter("not contains(kmer, 'N')")
 
 
 def kmer_onehot(spark, sf_dir):
-    return _distinct(spark, sf_dir, K_SHORT).select("kmer", F.array_join(S.one_hot(F.col("kmer")).cast("array<string>"), "").alias("onehot"))
+    return _distinct_of_all(spark, sf_dir, K_SHORT).select("kmer", F.array_join(S.one_hot(F.col("kmer")).cast("array<string>"), "").alias("onehot"))
 
 
 def anchor_sample(spark, sf_dir):
-    return kmers.anchors(_distinct(spark, sf_dir, K_LONG), 100).select("kmer")
+    return kmers.anchors(_distinct_of_all(spark, sf_dir, K_LONG), 100).select("kmer")
 
 
 def _anchors(spark, sf_dir, p=50) -> list[str]:
-    return sorted(r[0] for r in kmers.anchors(_distinct(spark, sf_dir, K_LONG), p).collect())
+    return sorted(r[0] for r in kmers.anchors(_distinct_of_all(spark, sf_dir, K_LONG), p).collect())
 
 
 def _anchor_vectors(spark, sf_dir):
-    named = kmers.anchors(_distinct(spark, sf_dir, K_LONG), 50).select("kmer")
+    named = kmers.anchors(_distinct_of_all(spark, sf_dir, K_LONG), 50).select("kmer")
     return named.select("kmer", S.one_hot(F.col("kmer")).cast("array<double>").alias("x"))
 
 
@@ -196,12 +196,12 @@ def nystrom_error(spark, sf_dir):
 
 
 def greedy_anchors(spark, sf_dir):
-    distinct = _distinct(spark, sf_dir, 6).persist()
+    distinct = _distinct_of_all(spark, sf_dir, 6).persist()
     return spark.createDataFrame(nystrom.greedy_anchors(distinct, 8, SIGMA), "step int, kmer string, residual double")
 
 
 def spectral_cluster(spark, sf_dir):
-    names = sorted(r[0] for r in kmers.anchors(_distinct(spark, sf_dir, K_LONG), 200).collect())
+    names = sorted(r[0] for r in kmers.anchors(_distinct_of_all(spark, sf_dir, K_LONG), 200).collect())
     from strandloom.operators import cluster
 
     at, means = cluster.spectral(nystrom.one_hot(names), 4, SIGMA, K_LONG)
