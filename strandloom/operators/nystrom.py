@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,27 @@ def mean_profile(df: DataFrame, k: int, seq: str, by: list[str]) -> DataFrame:
     return shares.join(F.broadcast(sizes), by).select(*by, "kmer", (F.col("w") / F.col("rows")).alias("w"))
 
 
+def kmer_values(profiles: DataFrame, k: int, sigma: float, by: list[str]) -> DataFrame:
+    """(by..., kmer, v): the mean convolutional kernel of every possible k-mer of A, C, G, T, N and padding with each group of
+    mean_profile(); N and padding equal nothing. A group is at most 6^k shares, and one task's."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in profiles.schema if f.name in by)
+
+    def values(group: pa.Table) -> pa.Table:
+        names = ["".join(x) for x in product("ACGTNZ", repeat=k)]
+        codes = np.frombuffer("".join(names).encode(), np.uint8).reshape(-1, k)
+        w, v = group.column("w").to_numpy(), np.zeros(len(names))
+        for kmer, share in zip(group.column("kmer").to_pylist(), w.tolist()):
+            h = np.zeros(len(names), np.int64)
+            for j, c in enumerate(kmer):
+                if c in "ACGT":
+                    h += codes[:, j] == ord(c)
+            v += share * k * np.exp((h / k - 1) / sigma**2)
+        keys = [pa.array([group.column(c)[0].as_py()] * len(names), group.column(c).type) for c in by]
+        return pa.Table.from_arrays([*keys, pa.array(names), pa.array(v)], [*by, "kmer", "v"])
+
+    return profiles.groupBy(*by).applyInArrow(values, f"{kinds}, kmer string, v double")
+
+
 def residuals(kmers: np.ndarray, chosen: np.ndarray, sigma: float) -> np.ndarray:
     """k(x, x) minus what the chosen anchors explain of it, for rows of one-hot k-mers."""
     kernel = K.KmerCosine(sigma)

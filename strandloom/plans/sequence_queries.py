@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.functions import vector as V
 from strandloom.operators import evaluate, kernels, kmers, nystrom, profile
+from strandloom.plans.shared import keep
 from strandloom.plans.ship import ship
 
 K_LONG, K_SHORT, SIGMA = 9, 4, 0.5
@@ -231,13 +232,11 @@ def conv_gram(spark, sf_dir):
 
 
 def conv_similarity(spark, sf_dir):
-    """Mean convolutional kernel of every evaluation row with each class of its dataset."""
-    p = _profiles(spark, sf_dir)
+    """Mean convolutional kernel of every evaluation row with each class of its dataset. What every possible k-mer has with a class is made
+    class by class from its profile, at most 6^k rows each; no pairs of k-mers are a table, and the evaluation rows are read once."""
+    value = keep(nystrom.kmer_values(_profiles(spark, sf_dir), K_SHORT, SIGMA, ["dataset", "label"]), "values")
     tests = sequences(spark, sf_dir, "test_df").filter("seq <> '' and dataset is not null")
     each = kmers.explode(tests.select("row_id", "dataset", F.length("seq").alias("m"), "seq"), K_SHORT)
-    pairs = each.select("kmer").distinct().crossJoin(F.broadcast(p.select(F.col("kmer").alias("q")).distinct()))
-    kappa = pairs.select("kmer", "q", (K_SHORT * F.exp((_h("kmer", "q", K_SHORT) / K_SHORT - 1) / SIGMA**2)).alias("kappa"))
-    value = kappa.join(p.select("dataset", "label", F.col("kmer").alias("q"), "w"), "q").groupBy("dataset", "label", "kmer").agg(F.sum(F.col("w") * F.col("kappa")).alias("v"))
     return each.join(value, ["dataset", "kmer"]).groupBy("row_id", "label").agg(F.round(F.sum(F.col("v") / F.col("m")), 6).alias("k"))
 
 

@@ -72,3 +72,24 @@ def test_anchors_keep_clean_kmers_of_rows_with_n(spark, tmp_path):
     assert len(chosen) == 8 and set(chosen) <= got
     clustered = {r.kmer for r in sequence_queries.spectral_cluster(spark, str(tmp_path)).collect()}
     assert "ACGTACGTT" in clustered and not any("N" in k for k in clustered)
+
+
+def test_conv_similarity_makes_no_table_of_pairs_of_kmers(spark, tmp_path):
+    """Such a table, however few its rows seem to Spark, may be broadcast through the driver; and the rows are read once."""
+    from strandloom.operators import nystrom
+
+    train = [(1, 0, 1, "ACGTNACGGT"), (2, 0, 0, "TTACG"), (3, 0, 1, "GGCATTA"), (4, 1, 1, "AC"), (5, 1, None, "ACGT"), (6, 0, 0, "")]
+    spark.createDataFrame(train, "row_id long, dataset int, label int, sequence string").write.parquet(f"{tmp_path}/train_df.parquet")
+    test = [(1, 0, "ACGNNTAC"), (2, 0, "G"), (3, 1, "ACGTT"), (4, 0, ""), (5, 0, None), (6, 2, "ACGT")]
+    spark.createDataFrame(test, "row_id long, dataset int, sequence string").write.parquet(f"{tmp_path}/test_df.parquet")
+    out = sequence_queries.conv_similarity(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and plan.count("posexplode") == 1
+    want = {}
+    for i, d, s in test:
+        for label in (0, 1):
+            others = [t for _, e, c, t in train if t and (e, c) == (d, label)]
+            if s and others:
+                want[i, label] = sum(nystrom.conv(s, t, sequence_queries.K_SHORT, sequence_queries.SIGMA) for t in others) / len(others)
+    got = {(r.row_id, r.label): r.k for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - k) < 1e-6 for x, k in want.items())
