@@ -278,3 +278,49 @@ def test_windows_of_very_large_ids(spark):
     a = {(r.id, r.cluster) for r in clusters.cluster_rows(small, "row_id", "sequence").collect()}
     b = {((r.id + (1 << 61)) >> 52, (r.cluster + (1 << 61)) >> 52) for r in clusters.cluster_rows(large, "row_id", "sequence").collect()}
     assert a and a == b
+
+
+def test_pairs_of_a_bucket_are_never_held_together():
+    """However many records each of its windows has: portions are bounded, and add up to the same counts."""
+    import numpy as np
+
+    from strandloom.llm import windows as W
+
+    rng = np.random.default_rng(5)
+    n = 4000  # 40 windows of 100 records each: 198,000 meetings, most of them of different pairs
+    e = W.Entries(rng.integers(1, 600, n), np.full(n, 94), np.repeat(np.arange(40), 100), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, np.int64))
+    code = np.full((1300, 1300), 5, np.int16)
+    whole, of_whole = W.meetings(e, 6, 128, code)
+    parts, of_parts = W.meetings(e, 6, 128, code, most=5_000)
+    (whole,), parts = list(whole), list(parts)
+    assert len(parts) > 5 and max(len(p[0]) for p in parts) <= 3 * 5_000
+    assert all(len(set(zip(p[0].tolist(), p[1].tolist()))) == len(p[0]) for p in parts)
+    summed = W.J.added(*(np.concatenate(c) for c in zip(*parts)))
+    assert all(np.array_equal(x, y) for x, y in zip(summed, whole)) and all(np.array_equal(x, y) for x, y in zip(of_whole, of_parts))
+
+
+def test_counts_of_a_target_are_added_up_in_parts():
+    import numpy as np
+
+    from strandloom.llm import windows as W
+
+    rng = np.random.default_rng(6)
+    pairs = [[rng.integers(-9, 500, 1000), rng.integers(0, 50, 1000), np.ones(1000, np.int64), np.full(1000, 5)] for _ in range(8)]
+    hot = [[rng.integers(-9, 500, 300), np.full(300, 94), rng.integers(0, 99, 300), np.full(300, 200)] for _ in range(3)]
+    blocks = [W.B.write(p) for p in pairs], [W.B.write(h) for h in hot]
+    ((one, _),) = list(W.in_parts(blocks, (4, 4)))
+    got = list(W.in_parts(blocks, (4, 4), 1000))
+    assert len(got) == 9 and max(len(p[0]) + len(h[0]) for p, h in got) < 2000
+    owners = [set(p[0].tolist()) | set(h[0].tolist()) for p, h in got]
+    assert sum(map(len, owners)) == len(set.union(*owners))
+    summed = [W.J.added(*p) for p, _ in got]
+    assert {(a, b, n) for a, b, n, _ in zip(*(np.concatenate(c).tolist() for c in zip(*summed)))} == {(a, b, n) for a, b, n, _ in zip(*(c.tolist() for c in W.J.added(*one)))}
+    assert sum(len(h[0]) for _, h in got) == 900
+
+
+def test_targets_follow_the_chance_meetings():
+    from strandloom.llm import windows as W
+
+    how = W.Windows()
+    assert W.targets_for(1000, how, 1) == 1
+    assert all(min(n / 4.0**13, 128) * n / W.targets_for(n, how, 15) <= W.TARGET_PAIRS for n in (10**8, 10**9, 10**10, 10**12))
